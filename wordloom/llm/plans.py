@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import mixing, packing, suffixes, topn
+from wordloom.llm import mixing, packing, residue, suffixes, topn
 from wordloom.llm.pairs import PairTable
 from wordloom.llm.tokens import token_count
 from wordloom.sources.tables import table
@@ -160,8 +160,26 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# p9: residue
+
+
+def _residue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs, residue.find_residue(docs, "doc_id", "text", residue.fit_on(docs, "doc_id", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _residue(spark, d)[1].select("doc_id").distinct()
+
+
+def p9_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    """Per document with residue: how much of it, and whether to drop the document or cut the sentences."""
+    docs, spans = _residue(spark, d)
+    return residue.exclusion(spans, docs, "doc_id", F.length("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_terms, p1_phrases, p3_found, p3_scores, p5_found, p5_top_followers, p7_assignment, p7_fill, p8_mix, p8_repeats, p8_shares)
+    f.__name__: f for f in (p1_found, p1_terms, p1_phrases, p3_found, p3_scores, p5_found, p5_top_followers, p7_assignment, p7_fill, p8_mix, p8_repeats, p8_shares, p9_found, p9_exclusion)
 }
 
 _TERMS = """
