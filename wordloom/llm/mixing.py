@@ -82,7 +82,7 @@ def position(used: Column, tilt: Column) -> Column:
 
 def source_name(source: Column) -> Column:
     """A source without blanks at its ends, in lower case."""
-    return F.lower(F.btrim(source, F.lit(" \t ")))
+    return F.lower(F.btrim(source, F.lit(" \t\xa0")))
 
 
 #: Gaps are filled until they are below this share of a source's demand, in at most so many rounds.

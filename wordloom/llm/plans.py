@@ -20,8 +20,8 @@ RARE_TOTAL, RARE_SINGLE, COMMON_SHARE = 3, 6, 0.005
 
 def term(word):
     """A spelling without blanks at its ends, apostrophes unified, in lower case."""
-    bare = F.btrim(word, F.lit(" \t "))
-    return F.lower(F.translate(bare, "‘’ʼ", "'''"))
+    bare = F.btrim(word, F.lit(" \t\xa0"))
+    return F.lower(F.translate(bare, "\u2018\u2019\u02bc", "'''"))
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
