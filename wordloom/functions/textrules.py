@@ -124,13 +124,17 @@ def _chain(c, rules: Sequence[Rule]):
     return c
 
 
+#: Rules in one step: the code generated for more would be too long for one method.
+RUN = 10
+
+
 def _blocks(rules: Sequence[Rule]) -> list[tuple[str | None, list[Rule]]]:
     """Cut the rules into runs; a run of rules that seldom apply has one pattern that tells whether any does."""
     seldom = lambda r: r.fold and r != _REPEATED or r in _I or r in _PUNCTUATION or r in _PUNCTUATION_SOFT
     out: list = []
     for r in rules:
         kind = seldom(r)
-        if not out or out[-1][0] != kind:
+        if not out or out[-1][0] != kind or len(out[-1][1]) == RUN:
             out.append((kind, []))
         out[-1][1].append(r)
     return [("(?i)" + "|".join(r.pattern for r in run) if kind and len(run) > 2 else None, run) for kind, run in out]
@@ -161,13 +165,16 @@ def normalise(df: DataFrame, col: str, rules: str = "final", number: str | None
         df = df.withColumn(col, F.lower(col))
     df = apply_rules(df, col, chosen.line)
     if chosen.splits:
-        parts = F.posexplode(F.split(col, "\n"))
+        df = df.withColumn("_line", F.monotonically_increasing_id())
         others = [c for c in df.columns if c != col]
-        df = df.select(*others, parts.alias(number or "_number", col))
-        if number is None:
-            df = df.drop("_number")
+        df = df.select(*others, F.posexplode(F.split(col, "\n")).alias(number or "_number", col))
     df = apply_rules(df, col, chosen.sentence)
-    return df.withColumn(col, F.trim(col)).where(F.col(col) != "")
+    # The numbers keep filters from being moved below the rules, which would then run once more for each.
+    df = df.select(*[c for c in df.columns if c != col], F.trim(col).alias(col), F.monotonically_increasing_id().alias("_row"))
+    df = df.where((F.col(col) != "") & (F.col("_row") >= 0))
+    if chosen.splits:
+        df = df.where(F.col("_line") >= 0)
+    return df.drop("_line", "_row", "_number")
 
 
 def subsentences(df: DataFrame, col: str, number: str) -> DataFrame:

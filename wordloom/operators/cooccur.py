@@ -53,7 +53,8 @@ def pair_counts_multiset(sentences: DataFrame, words: str = "words") -> DataFram
 
 def odds_factor(total: float, outcome: Column, condition: Column, joint: Column) -> Column:
     """By what the odds of an outcome change under a condition; null where the condition decides it."""
-    return (F.lit(total) / outcome - 1) / F.nullif(condition / joint - 1, F.lit(0.0))
+    zero = F.lit(0)
+    return (F.lit(total) / F.nullif(outcome, zero) - 1) / F.nullif(condition / F.nullif(joint, zero) - 1, F.lit(0.0))
 
 
 def bayes_factors(pairs: DataFrame, words: DataFrame) -> DataFrame:
