@@ -129,9 +129,9 @@ def mix(records: DataFrame, plans: list[Plan], id: str, source: str, tokens: str
     rows = _partial_pass(prefix_sum(rows, "chunk", ORDER, "tokens", "before", within=["source"]), plans)
     copies = of("passes", "int") + F.when(F.col("picked"), 1).otherwise(0)
     taken = rows.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    # A whole pass runs over all records of the source; the partial pass is spread over its own length.
+    # The partial pass is the beginning of another one; records that fill its gaps are spread over it.
     middle = F.col("before") + F.col("tokens") / 2
-    partial = F.col("copy") == of("passes", "int")
-    inside = F.when(partial, middle * of("rest", "double") / of("supply", "double")).otherwise(middle)
+    filler = (F.col("copy") == of("passes", "int")) & (middle > of("rest", "double"))
+    inside = F.when(filler, middle * of("rest", "double") / of("supply", "double")).otherwise(middle)
     used = F.least(F.lit(1.0), (F.col("copy") * of("supply", "double") + inside) / of("demand", "double"))
     return taken.withColumn("position", position(used, of("tilt", "double"))).select(F.col("id").alias(id), "source", "copy", "tokens", "position").orderBy("position", "source", id, "copy")
