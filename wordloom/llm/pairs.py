@@ -11,37 +11,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.operators.cooccur import distinct_words, emit_pairs
 from wordloom.session import shuffle_partitions
 from wordloom.storage import remove, workspace
 
-#: Words of a basket that are paired in one row; longer baskets are cut into pairs of blocks.
-BLOCK = 256
-
-
-def basket_words(words: Column) -> Column:
-    """The distinct words of a basket in order; null words are ignored, a null basket is empty."""
-    return F.coalesce(F.array_sort(F.array_distinct(F.filter(words, lambda x: x.isNotNull()))), F.array().cast("array<bigint>"))
-
-
-def emit_pairs(baskets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(word_a, word_b, sign) with word_a < word_b for each pair of a basket (``words`` sorted, distinct).
-
-    A basket of any length is handled: pairs of blocks become rows of their own, so
-    no row holds more than two blocks and no array of pairs is ever built.
-    """
-    n_blocks = F.ceil(F.size("words") / block).cast("int")
-    grid = baskets.where(F.size("words") > 1).withColumn("p", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    grid = grid.withColumn("q", F.explode(F.sequence(F.col("p"), n_blocks - 1)))
-    cut = lambda k: F.slice("words", F.col(k) * block + 1, block)
-    rows = grid.select("sign", (F.col("p") == F.col("q")).alias("own"), cut("p").alias("left"), cut("q").alias("right"))
-    firsts = rows.select("sign", "own", "right", F.posexplode("left").alias("i", "word_a"))
-    rest = F.when(F.col("own"), F.slice("right", F.col("i") + 2, block)).otherwise(F.col("right"))
-    return firsts.select("sign", "word_a", F.explode(rest).alias("word_b"))
-
-
 class PairTable:
     """Persistent pair counts; every ``apply`` makes a new generation and drops the one before."""
 
@@ -82,7 +58,7 @@ class PairTable:
         """
         new = (
             batch.where("basket is not null")
-            .select("basket", F.struct(F.col("at"), basket_words(F.col("words")).alias("words")).alias("v"))
+            .select("basket", F.struct(F.col("at"), distinct_words(F.col("words")).alias("words")).alias("v"))
             .groupBy("basket")
             .agg(F.max("v")["words"].alias("new"))
         )
@@ -95,7 +71,7 @@ class PairTable:
         baskets = both.select("basket", "old", "new").where("size(old) > 0 or size(new) > 0")
         versions = baskets.where("old <> new")
         signed = versions.select(F.explode(F.array(F.struct(F.col("new").alias("words"), F.lit(1).alias("sign")), F.struct(F.col("old").alias("words"), F.lit(-1).alias("sign")))).alias("v")).select("v.*").where("size(words) > 0")
-        pair_delta = emit_pairs(signed).groupBy("word_a", "word_b").agg(F.sum("sign").alias("d"))
+        pair_delta = emit_pairs(signed, keep=("sign",)).groupBy("word_a", "word_b").agg(F.sum("sign").alias("d"))
         word_delta = signed.select("sign", F.explode("words").alias("word")).groupBy("word").agg(F.sum("sign").alias("d"))
         before = self.generation
         old_parts = {p: f"{self.name}_{p}_{before}" for p in self.KEYS}
