@@ -42,6 +42,6 @@ def test_rows_are_numbered_once_and_keys_stay_together(frame):
 
 def test_hot_keys_count_null_rows_in_the_total_only(spark):
     df = spark.createDataFrame([(1,)] * 5 + [(2,)] * 2 + [(None,)] * 13, "k int")
-    assert [r.k for r in hot_keys(df, "k", 0.2).collect()] == [1]
-    assert hot_keys(df.where("false"), "k", 0.2).collect() == []
-    assert hot_keys(df, "k", 0.25).collect() == []
+    assert [r.k for r in hot_keys(df, "k", 5).collect()] == [1]
+    assert hot_keys(df.where("false"), "k", 5).collect() == []
+    assert hot_keys(df, "k", 4).collect() == []

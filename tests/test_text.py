@@ -77,3 +77,22 @@ def test_ordered_scan_numbers_and_sums(spark):
     got = sorted((r.id, r.row_no, r.running) for r in corpus.ordered_scan(df, [df.id.desc()], "id").collect())
     assert [n for _, n, _ in got] == list(range(999, -1, -1))
     assert got[0][2] == sum(range(1000)) and got[-1][2] == 999
+
+
+@pytest.mark.parametrize("name", ["final", "commas"])
+def test_rules_run_once_whatever_is_filtered_above(spark, name):
+    df = spark.createDataFrame([(1, "y'all yall")], "n int, line string")
+    out = normalise(df, "line", name).where("line <> 'x' and line like '%a%'")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" y'all ") == 1
+
+
+def test_spread_deals_a_small_scan_to_all_cores(spark, tmp_path):
+    from wordloom.session import spread
+
+    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "t"))
+    small = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(small).rdd.getNumPartitions() == cores and spread(small).count() == 50
+    wide = spark.range(0, 50, 1, cores + 1)
+    assert spread(wide) is wide

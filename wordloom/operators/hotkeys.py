@@ -82,7 +82,7 @@ def fold_by_key(df: DataFrame, key: str, value: str | None = None, chunk_rows: i
     )
 
 
-def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys that hold more than ``share`` of all stored rows (null keys count only in the total)."""
+def hot_keys(df: DataFrame, key: str, one_in: int) -> DataFrame:
+    """Keys that hold more than one in ``one_in`` of all stored rows (null keys count only in the total)."""
     total = df.select(key).count()
-    return fold_by_key(df, key).where(F.col("n_rows") > F.lit(share) * F.lit(total))
+    return fold_by_key(df, key).where(F.col("n_rows") * one_in > F.lit(total))

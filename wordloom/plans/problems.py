@@ -39,12 +39,13 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return _dangling(spark, d).groupBy("ref_field", "ref_month").agg(F.count(F.lit(1)).alias("orphans"), F.countDistinct("ref_key").alias("missing_keys"))
 
 
-HOT_SHARE = 0.02
+#: A key is hot if it holds more than one in so many rows.
+HOT_ONE_IN = 50
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     def one(name: str, key: str) -> DataFrame:
-        return hotkeys.hot_keys(table(spark, d, name), key, HOT_SHARE).select(F.lit(f"{name}.{key}").alias("key_field"), F.col(key).alias("hot_key"))
+        return hotkeys.hot_keys(table(spark, d, name), key, HOT_ONE_IN).select(F.lit(f"{name}.{key}").alias("key_field"), F.col(key).alias("hot_key"))
 
     return one("bayes_t", "condition").unionByName(one("ngram_t", "prefix"))
 
@@ -115,9 +116,9 @@ SQL: dict[str, str] = {
     "p2_report": _ORPHANS + "SELECT ref_field, ref_month, count(*) AS orphans, count(DISTINCT k) AS missing_keys FROM found GROUP BY 1, 2",
     "p4_found": """
 SELECT 'bayes_t.condition' AS key_field, condition AS hot_key FROM bayes_t WHERE condition IS NOT NULL
-GROUP BY condition HAVING count(*) > 0.02 * (SELECT count(*) FROM bayes_t)
+GROUP BY condition HAVING count(*) * 50 > (SELECT count(*) FROM bayes_t)
 UNION ALL SELECT 'ngram_t.prefix', prefix FROM ngram_t WHERE prefix IS NOT NULL
-GROUP BY prefix HAVING count(*) > 0.02 * (SELECT count(*) FROM ngram_t)""",
+GROUP BY prefix HAVING count(*) * 50 > (SELECT count(*) FROM ngram_t)""",
     "p4_condition_totals": """
 SELECT condition, count(*) AS n_rows, CAST(sum(occurences) AS BIGINT) AS sum_value, min(occurences) AS min_value, max(occurences) AS max_value
 FROM bayes_t WHERE condition IS NOT NULL GROUP BY condition""",

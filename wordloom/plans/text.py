@@ -11,6 +11,7 @@ from wordloom.functions.stem import stem_column
 from wordloom.functions.textrules import normalise, subsentences
 from wordloom.operators import corpus, ngrams
 from wordloom.plans import sqltext
+from wordloom.session import spread
 from wordloom.sources.tables import table
 from wordloom.storage import materialize
 
@@ -18,7 +19,7 @@ COVERED, TRAIN = 0.9, 0.8
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
 
 
 def _sentences(spark: SparkSession, d: str, rules: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -24,3 +24,13 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle width, the unit by which operators size their own."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores to all of them.
+
+    For work on texts that costs far more than reading them.  A large table has more
+    splits than there are cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
