@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from wordloom.llm import mixing, packing, residue, suffixes, topn
 from wordloom.llm.pairs import PairTable
 from wordloom.llm.tokens import token_count
+from wordloom.session import spread
 from wordloom.sources.tables import table
 from wordloom.storage import materialize
 
 # p1: terms
 
-RARE_TOTAL, RARE_SINGLE, COMMON_SHARE = 3, 6, 0.005
+#: Too rare: below the first total, or below the second in a single record. Too common: more than one in so many.
+RARE_TOTAL, RARE_SINGLE, COMMON_ONE_IN = 3, 6, 200
 
 
 def term(word):
@@ -31,7 +33,7 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     counted = materialize(counted.select(F.col("ngram")[0].alias("term"), "total", "records"), "terms")
     whole = counted.agg(F.sum("total")).first()[0] or 0
     rare = (F.col("total") < RARE_TOTAL) | ((F.col("total") < RARE_SINGLE) & (F.col("records") == 1))
-    common = F.col("total") > COMMON_SHARE * whole
+    common = F.col("total") * COMMON_ONE_IN > whole
     return counted.withColumn("mark", F.when(common, "common").when(rare, "rare").otherwise("kept"))
 
 
@@ -63,7 +65,8 @@ def _pair_table(spark: SparkSession, d: str) -> PairTable:
     last = s.agg(F.max("block")).first()[0]
     pairs = PairTable(spark)
     for k in range(BATCHES):
-        part = F.floor(F.coalesce("block", F.lit(0)) * BATCHES / ((last or 0) + 1))
+        part = F.floor(F.coalesce("block", F.lit(0)) * BATCHES / (max(last or 0, 0) + 1))
+        part = F.greatest(F.lit(0), part)
         pairs.apply(s.where(part == k))
     return pairs
 
@@ -106,7 +109,7 @@ def p5_top_followers(spark: SparkSession, d: str) -> DataFrame:
 
 def _assignment(spark: SparkSession, d: str) -> DataFrame:
     kinds = {r["container"]: r["capacity_tokens"] for r in table(spark, d, "container_t").where("capacity_tokens > 0").collect()}
-    texts = table(spark, d, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
+    texts = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", token_count(F.col("text")).alias("tokens"))
     return packing.pack(texts, "doc_id", "tokens", kinds)
 
 
@@ -132,7 +135,7 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     wanted = {r["source"]: (r["share"], r["cap"]) for r in targets.collect()}
     texts = table(spark, d, "documents").select("doc_id", "text", mixing.source_name(F.col("source")).alias("source"))
     texts = texts.where(F.col("source").isin(list(wanted)))
-    sized = materialize(texts.select("doc_id", "source", token_count(F.col("text")).alias("tokens")), "mix-sizes")
+    sized = materialize(spread(texts).select("doc_id", "source", token_count(F.col("text")).alias("tokens")), "mix-sizes")
     supply = {r["source"]: r["s"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("s")).collect()}
     return mixing.mix(sized, mixing.plan_mix(supply, wanted), "doc_id", "source", "tokens"), targets
 
@@ -165,7 +168,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _residue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs, residue.find_residue(docs, "doc_id", "text", residue.fit_on(docs, "doc_id", "text"))
+    return docs, residue.find_residue(spread(docs), "doc_id", "text", residue.fit_on(docs, "doc_id", "text"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +189,7 @@ _TERMS = """
 WITH rows AS (SELECT DISTINCT * FROM word_t),
 terms AS (SELECT lower(translate(trim(word, ' ' || chr(9) || chr(160)), chr(8216) || chr(8217) || chr(700), '''''''')) AS term, coalesce(occurences, 0) AS o FROM rows),
 totals AS (SELECT term, CAST(sum(o) AS BIGINT) AS total, count(*) AS records FROM terms WHERE term <> '' GROUP BY term),
-marked AS (SELECT *, CASE WHEN total > 0.005 * (SELECT sum(total) FROM totals) THEN 'common'
+marked AS (SELECT *, CASE WHEN total * 200 > (SELECT sum(total) FROM totals) THEN 'common'
                           WHEN total < 3 OR (total < 6 AND records = 1) THEN 'rare' ELSE 'kept' END AS mark FROM totals)
 """
 _PAIRS = """
