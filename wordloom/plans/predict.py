@@ -45,7 +45,7 @@ def suggest_ngram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suggest_bayes(spark: SparkSession, d: str) -> DataFrame:
-    return suggest.bayes_products(contexts(spark, d), _model(spark, d)).withColumnRenamed("product", "score")
+    return suggest.bayes_products(contexts(spark, d), _model(spark, d)).select("ctx_id", "candidate", F.col("product").alias("score"))
 
 
 def suggest_topk(spark: SparkSession, d: str) -> DataFrame:
