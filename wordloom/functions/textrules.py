@@ -46,17 +46,23 @@ _CONTROL = "[\r\ufeff\u200e\u200f\x80-\xbf\xd7\xf7]"
 _SYMBOLS = r'[\]\[@{}<>()"|~`:*/%_#$,;+=^0-9\-]'
 _SYMBOLS_KEEP_AT = r'[\]\[{}<>()"|~`:*/%_#$,;+=^0-9\-]'
 
-_NOT = "ain couldn doesn don didn hasn haven hadn isn aren wasn weren won wouldn mustn needn oughtn shan shouldn".split()
-_WORDS = (
-    [("aint", "ain't"), ("cant", "can't")]
-    + [(w + "t", w + "'t") for w in _NOT[1:]]
-    + [("id", "I'd"), ("youd", "you'd"), ("hed", "he'd"), ("theyd", "they'd"), ("ive", "I've"), ("youve", "you've"), ("weve", "we've"), ("theyve", "they've")]
-    + [("im", "I'm"), ("youre", "you're"), ("hes", "he's"), ("shes", "she's"), ("theyre", "they're")]
-)
+_WORDS = [
+    ("aint", "ain't"), ("cant", "can't"), ("couldnt", "couldn't"), ("doesnt", "doesn't"), ("dont", "don't"), ("didnt", "didn't"), ("hasnt", "hasn't"),
+    ("havent", "haven't"), ("hadnt", "hadn't"), ("isnt", "isn't"), ("arent", "aren't"), ("wasnt", "wasn't"), ("werent", "weren't"), ("wont", "won't"),
+    ("wouldnt", "wouldn't"), ("mustnt", "mustn't"), ("neednt", "needn't"), ("oughtnt", "oughtn't"), ("shant", "shan't"), ("shouldnt", "shouldn't"),
+    ("id", "I'd"), ("youd", "you'd"), ("hed", "he'd"), ("youd", "you'd"), ("theyd", "they'd"),
+    ("ive", "I've"), ("youve", "you've"), ("weve", "we've"), ("theyve", "they've"),
+    ("im", "I'm"), ("youre", "you're"), ("hes", "he's"), ("shes", "she's"), ("theyre", "they're"),
+]
 _WILL = [("youll", "you'll"), ("itll", "it'll"), ("theyll", "they'll"), ("couldve", "could've"), ("shouldve", "should've"), ("wouldve", "would've")]
-_IS = [(w + "s", w + "'s") for w in "let that here there what who where noone everyone nowhere everywhere".split()] + [("yall", "y'all")]
+_IS = [
+    ("lets", "let's"), ("thats", "that's"), ("heres", "here's"), ("theres", "there's"), ("whats", "what's"), ("whos", "who's"), ("wheres", "where's"),
+    ("noones", "noone's"), ("everyones", "everyone's"), ("nowheres", "nowhere's"), ("everywheres", "everywhere's"), ("yall", "y'all"),
+]
 _SLANG = [("bday", "birthday"), ("dis", "this"), ("dat", "that")]
-_SHORT = [("c'mon", "come on"), ("(be?)?c[ou]z", "because"), ("imma", "I'm a"), ("ofcoz", "of course"), ("pl[sz]", "please"), ("ppl", "people"), ("tho", "though"), ("u", "you"), ("ur", "your")]
+_SHORT = [
+    ("c'mon", "come on"), ("(be?)?c[ou]z", "because"), ("imma", "I'm a"), ("ofcoz", "of course"), ("pl[sz]", "please"), ("ppl", "people"), ("tho", "though"), ("u", "you"), ("ur", "your"),
+]
 _OLD = [("o'", "of"), ("ol'", "old")]
 
 
