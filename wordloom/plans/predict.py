@@ -22,9 +22,19 @@ def _model(spark: SparkSession, d: str) -> suggest.Model:
     return suggest.Model(**m.pruned(spark, d, write=True))
 
 
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    return m.sentences(spark, d).where(F.size("words") > 0).groupBy("sent_id").agg(F.max("words").alias("words"))
+
+
+def boundaries(spark: SparkSession, d: str, first: int = 0) -> DataFrame:
+    """Every word of every sentence from position ``first`` on and the words before it: ctx_id (sentence/position), ids, target."""
+    at = _sentences(spark, d).select("sent_id", "words", F.posexplode("words").alias("pos", "target")).where(F.col("pos") >= first)
+    return at.select(F.concat_ws("/", "sent_id", "pos").alias("ctx_id"), F.slice("words", F.lit(1), F.col("pos")).alias("ids"), "target")
+
+
 def contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Every sentence without its last word, and that word: ctx_id, ids, target."""
-    s = m.sentences(spark, d).where(F.size("words") > 0).groupBy("sent_id").agg(F.max("words").alias("words"))
+    """Every sentence without its last word, and that word: ctx_id, ids, target. What the SQL of the suggestions asks for."""
+    s = _sentences(spark, d)
     n = F.size("words")
     return s.select(F.col("sent_id").alias("ctx_id"), F.slice("words", 1, n - 1).alias("ids"), F.element_at("words", -1).alias("target"))
 
@@ -64,18 +74,26 @@ def suggest_hinted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hit_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Hits by rank at sentence ends."""
     made, asked = _suggested(spark, d, 5)
     return evaluate.hit_histogram(made, asked)
 
 
+def hit_histogram_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """Hits by rank at all word boundaries, from the second word of a sentence on."""
+    asked = materialize(boundaries(spark, d, 1), "contexts")
+    made = suggest.suggest(asked.select("ctx_id", "ids", F.lit("").alias("hint")), _model(spark, d), 5)
+    return evaluate.hit_histogram(made, asked)
+
+
 def _strokes(spark: SparkSession, d: str) -> DataFrame:
     mod = _model(spark, d)
-    named = contexts(spark, d).join(mod.words.select(F.col("id").alias("target"), "word"), "target").where("word is not null")
+    named = boundaries(spark, d).join(mod.words.select(F.col("id").alias("target"), "word"), "target").where("word is not null")
     return evaluate.keystrokes(materialize(named, "targets"), mod, K)
 
 
 def keystrokes(spark: SparkSession, d: str) -> DataFrame:
-    """Keystrokes per context whose next word is in the dictionary."""
+    """Keystrokes per word boundary whose next word is in the dictionary."""
     return _strokes(spark, d)
 
 
@@ -179,7 +197,7 @@ def sorted_list(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        longest_prefix, suggest_ngram, suggest_bayes, suggest_topk, suggest_app, suggest_hinted, hit_histogram, keystrokes, success_ratio, top_followers, suggestion_dictionary,
+        longest_prefix, suggest_ngram, suggest_bayes, suggest_topk, suggest_app, suggest_hinted, hit_histogram, hit_histogram_boundaries, keystrokes, success_ratio, top_followers, suggestion_dictionary,
         dictionary_stats, dict_lookup, ml_probability, continuation_counts, kneser_ney, combined_score, multiple_choice, split_input, accept_suggestion, sorted_list,
     )
 }
@@ -187,6 +205,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _CONTEXTS = """,
 c0 AS (SELECT sent_id, max(w) AS w FROM s WHERE len(w) > 0 GROUP BY 1),
 ctx AS (SELECT sent_id AS ctx_id, w[1:len(w) - 1] AS ids, w[-1] AS target FROM c0)"""
+_BOUNDARIES = """,
+c0 AS (SELECT sent_id, max(w) AS w FROM s WHERE len(w) > 0 GROUP BY 1),
+ctx AS (SELECT concat_ws('/', sent_id, i) AS ctx_id, w[1:i] AS ids, w[i + 1] AS target FROM (SELECT sent_id, w, unnest(range(1, len(w))) AS i FROM c0))"""
 
 
 def _candidates(odds: bool = True, skip: bool = True) -> str:
@@ -267,6 +288,9 @@ SQL: dict[str, str] = {
     "suggest_hinted": _suggest(K, hint="'s'") + f" SELECT ctx_id, 's' AS hint, rank, id, word, tier, score FROM made",
     "hit_histogram": _suggest(5)
     + """, hits AS (SELECT ctx_id, min(rank) AS rank FROM made JOIN ctx USING (ctx_id) WHERE made.id = target GROUP BY 1)
+SELECT coalesce(rank, 0) AS tries, count(*) AS "count" FROM ctx LEFT JOIN hits USING (ctx_id) GROUP BY 1""",
+    "hit_histogram_boundaries": _suggest(5).replace(_CONTEXTS, _BOUNDARIES)
+    + """, hits AS (SELECT ctx_id, min(rank) AS rank FROM made JOIN ctx USING (ctx_id) WHERE made.id = target GROUP BY 1)
 SELECT coalesce(rank, 0) AS tries, count(*) AS "count" FROM ctx LEFT JOIN hits USING (ctx_id) GROUP BY 1""",
     "top_followers": _GRAMS
     + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY occurences DESC, follower) AS rank FROM g)
