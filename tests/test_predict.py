@@ -20,3 +20,8 @@ def test_keystrokes_are_counted_at_all_boundaries(spark):
     known = [r.id for r in model.pruned(spark, SF)["words"].where("word is not null").select("id").collect()]
     targets = predict.boundaries(spark, SF)
     assert entry.queries()["success_ratio"](spark, SF).first().words >= targets.where(targets.target.isin(known)).count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_words_outside_the_dictionary_count_as_missed(spark):
+    assert entry.queries()["success_ratio"](spark, SF).first().words == predict.boundaries(spark, SF).count()

@@ -87,18 +87,19 @@ def hit_histogram_boundaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _strokes(spark: SparkSession, d: str) -> DataFrame:
-    mod = _model(spark, d)
-    named = boundaries(spark, d).join(mod.words.select(F.col("id").alias("target"), "word"), "target").where("word is not null")
+    # Spelled from the unpruned words: a target outside the dictionary is never suggested and costs its length.
+    spelled = m.stored(spark, d)["words"].select(F.col("id").alias("target"), "word").dropDuplicates(["target"])
+    mod, named = _model(spark, d), boundaries(spark, d).join(spelled, "target", "left")
     return evaluate.keystrokes(materialize(named, "targets"), mod, K)
 
 
 def keystrokes(spark: SparkSession, d: str) -> DataFrame:
-    """Keystrokes per word boundary whose next word is in the dictionary."""
+    """Keystrokes per word boundary; null where the next word has no spelling."""
     return _strokes(spark, d)
 
 
 def success_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Share of words found at the first guess, and characters per keystroke."""
+    """Share of words found at the first guess, and characters per keystroke (of the words that have a spelling)."""
     return _strokes(spark, d).agg(
         F.count(F.lit(1)).alias("words"), F.count_if("first_guess").alias("found"), F.sum("strokes").alias("strokes"), F.sum("length").alias("characters")
     )
