@@ -60,13 +60,17 @@ MIN_TOGETHER, MIN_LIFT = 5, 6.5
 BATCHES = 2
 
 
+def _baskets(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Sentences as baskets, and the last block."""
+    s = table(spark, d, "sentence_t").select(F.col("sent_id").alias("basket"), "words", F.col("loaded_at").alias("at"), F.coalesce("block", F.lit(0)).alias("block"))
+    return s, max(s.agg(F.max("block")).first()[0] or 0, 0)
+
+
 def _pair_table(spark: SparkSession, d: str) -> PairTable:
-    s = table(spark, d, "sentence_t").select(F.col("sent_id").alias("basket"), "words", F.col("loaded_at").alias("at"), "block")
-    last = s.agg(F.max("block")).first()[0]
+    s, last = _baskets(spark, d)
     pairs = PairTable(spark)
     for k in range(BATCHES):
-        part = F.floor(F.coalesce("block", F.lit(0)) * BATCHES / (max(last or 0, 0) + 1))
-        part = F.greatest(F.lit(0), part)
+        part = F.greatest(F.lit(0), F.floor(F.col("block") * BATCHES / (last + 1)))
         pairs.apply(s.where(part == k))
     return pairs
 
@@ -82,6 +86,17 @@ def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     return _pair_table(spark, d).scores(MIN_TOGETHER).withColumn("lift", F.round("lift", 6))
 
 
+def p3_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The scores to compute anew after a change: the first block is withdrawn, the last one comes again without its sentences' last words."""
+    s, last = _baskets(spark, d)
+    pairs = PairTable(spark).apply(s)
+    PairTable(spark, pairs.path).apply(
+        s.where("block <= 0").withColumn("words", F.lit(None).cast("array<bigint>"))
+        .unionByName(s.where((F.col("block") == last) & (F.col("block") > 0)).withColumn("words", F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0)))))
+    )
+    return PairTable(spark, pairs.path).affected_scores(MIN_TOGETHER).withColumn("lift", F.round("lift", 6))
+
+
 # p5: top followers
 
 TOP = 3
@@ -182,7 +197,7 @@ def p9_exclusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_terms, p1_phrases, p3_found, p3_scores, p5_found, p5_top_followers, p7_assignment, p7_fill, p8_mix, p8_repeats, p8_shares, p9_found, p9_exclusion)
+    f.__name__: f for f in (p1_found, p1_terms, p1_phrases, p3_found, p3_scores, p3_changes, p5_found, p5_top_followers, p7_assignment, p7_fill, p8_mix, p8_repeats, p8_shares, p9_found, p9_exclusion)
 }
 
 _TERMS = """
@@ -202,6 +217,22 @@ scored AS (SELECT word_a, word_b, n_ab, x.n AS n_a, y.n AS n_b,
                   n_ab * (SELECT CAST(count(DISTINCT sent_id) AS DOUBLE) FROM one) / (x.n * y.n) AS lift
            FROM ab JOIN n x ON x.word = word_a JOIN n y ON y.word = word_b)
 """
+_CHANGED = """
+WITH s0 AS (SELECT sent_id, coalesce(block, 0) AS block, words, loaded_at FROM sentence_t WHERE sent_id IS NOT NULL),
+last AS (SELECT max(block) AS b FROM s0),
+gone AS (SELECT DISTINCT sent_id FROM s0 WHERE block <= 0),
+before AS (SELECT sent_id, list_sort([x FOR x IN list_distinct(coalesce(arg_max(words, loaded_at), [])) IF x IS NOT NULL]) AS w FROM s0 GROUP BY sent_id),
+fixed AS (SELECT sent_id, list_sort([x FOR x IN list_distinct(arg_max(words[:len(words) - 1], loaded_at)) IF x IS NOT NULL]) AS w FROM s0, last WHERE block = b AND block > 0 GROUP BY sent_id),
+after AS (SELECT b.sent_id, CASE WHEN g.sent_id IS NOT NULL THEN [] WHEN f.sent_id IS NOT NULL THEN coalesce(f.w, []) ELSE b.w END AS w
+  FROM before b LEFT JOIN gone g USING (sent_id) LEFT JOIN fixed f USING (sent_id)),
+o AS (SELECT sent_id, unnest(w) AS word FROM before), one AS (SELECT sent_id, unnest(w) AS word FROM after),
+m AS (SELECT word, count(*) AS n FROM one GROUP BY 1), mo AS (SELECT word, count(*) AS n FROM o GROUP BY 1),
+moved AS (SELECT coalesce(m.word, mo.word) AS word FROM m FULL JOIN mo ON m.word = mo.word WHERE m.n IS DISTINCT FROM mo.n),
+pn AS (SELECT a.word AS word_a, b.word AS word_b, count(*) AS n_ab FROM one a JOIN one b ON a.sent_id = b.sent_id AND a.word < b.word GROUP BY 1, 2),
+po AS (SELECT a.word AS word_a, b.word AS word_b, count(*) AS n_ab FROM o a JOIN o b ON a.sent_id = b.sent_id AND a.word < b.word GROUP BY 1, 2)
+SELECT pn.word_a, pn.word_b, pn.n_ab, x.n AS n_a, y.n AS n_b, round(pn.n_ab * (SELECT CAST(count(*) AS DOUBLE) FROM after WHERE len(w) > 0) / (x.n * y.n), 6) AS lift
+FROM pn LEFT JOIN po ON po.word_a = pn.word_a AND po.word_b = pn.word_b JOIN m x ON x.word = pn.word_a JOIN m y ON y.word = pn.word_b
+WHERE pn.n_ab >= 5 AND (pn.n_ab IS DISTINCT FROM po.n_ab OR pn.word_a IN (SELECT word FROM moved) OR pn.word_b IN (SELECT word FROM moved))"""
 _TOP = """
 WITH newest AS (SELECT * FROM ngram_t WHERE prefix IS NOT NULL AND follower IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY prefix, follower ORDER BY loaded_at DESC NULLS LAST, row_id DESC) = 1),
@@ -221,6 +252,7 @@ SELECT array_to_string(g, ' ') AS phrase, CAST(n AS BIGINT) AS n, count(*) AS to
 FROM grams GROUP BY g, n HAVING count(*) > 1""",
     "p3_found": _PAIRS + "SELECT word_a, word_b FROM scored WHERE lift >= 6.5",
     "p3_scores": _PAIRS + "SELECT word_a, word_b, n_ab, n_a, n_b, round(lift, 6) AS lift FROM scored",
+    "p3_changes": _CHANGED,
     "p5_found": _TOP + "SELECT prefix, follower FROM ranked WHERE rank <= 3",
     "p5_top_followers": _TOP + "SELECT prefix, follower, rank, occurences, factor FROM ranked WHERE rank <= 3",
 }
