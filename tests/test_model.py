@@ -113,7 +113,7 @@ def brute_suggest(ids, hint, words, bayes, prefixes, grams, k):
     return [(r + 1, c, t) for r, (t, c) in enumerate((out + [(3, i) for _, i in large])[:k])]
 
 
-def test_suggestions_against_brute_force(spark):
+def test_suggestions_against_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     words = {i: (rng.choice("ab") + rng.choice("xyz") + str(i), rng.randrange(1, 30)) for i in range(20)}
     bayes = {(rng.randrange(20), rng.randrange(20)): rng.choice([None, 0.01, 30.0, 2.5]) for _ in range(90)}
@@ -140,6 +140,17 @@ def test_suggestions_against_brute_force(spark):
     want = {(c, h): brute_suggest(i, h, words, bayes, prefixes, grams, 4) for c, i, h in asked}
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
+    # Lists so short that places must be asked again give the same; so do all places of a line at once.
+    monkeypatch.setattr(suggest, "LISTED", -3)
+    monkeypatch.setattr(suggest, "BLOCK", 2)
+    lines = spark.createDataFrame([(str(c), i) for c, i in ids.items()], "line string, ids array<long>")
+    places = spark.createDataFrame([(str(c), p, h) for c, i in ids.items() for p in range(len(i) + 1) for h in ("", "a")], "line string, pos int, hint string")
+    got = {}
+    for r in suggest.suggest_lines(lines, places, model, 4).collect():
+        got.setdefault((r.line, r.pos, r.hint), []).append((r.rank, r.id, r.tier))
+    assert {k: sorted(v) for k, v in got.items()} == {(str(c), p, h): v for c, i in ids.items() for p in range(len(i) + 1) for h in ("", "a") if (v := brute_suggest(i[:p], h, words, bayes, prefixes, grams, 4))}
+    assert suggest.suggest_lines(lines, places.where("false"), model, 4).collect() == []
+
     truth = [(c, ids[c], t, words[t][0]) for c in range(30) for t in [rng.randrange(20)]]
     strokes = {r.ctx_id: r.strokes for r in evaluate.keystrokes(spark.createDataFrame(truth, "ctx_id long, ids array<long>, target long, word string"), model, 3).collect()}
     for c, i, t, w in truth:

@@ -11,8 +11,8 @@ SF = "/root/testdata/sf0.001"
 def test_every_word_boundary_is_a_context(spark, rows, tmp_path):
     s = spark.createDataFrame([(1, [5, 6, 7]), (1, [5, 6, 7]), (2, [8]), (3, []), (4, None)], "sent_id long, words array<long>")
     s.write.parquet(str(tmp_path / "sentence_t.parquet"))
-    assert rows(predict.boundaries(spark, str(tmp_path))) == [("1/0", [], 5), ("1/1", [5], 6), ("1/2", [5, 6], 7), ("2/0", [], 8)]
-    assert rows(predict.boundaries(spark, str(tmp_path), 1)) == [("1/1", [5], 6), ("1/2", [5, 6], 7)]
+    assert rows(predict.boundaries(spark, str(tmp_path))) == [(1, 0, 5), (1, 1, 6), (1, 2, 7), (2, 0, 8)]
+    assert rows(predict.boundaries(spark, str(tmp_path), 1)) == [(1, 1, 6), (1, 2, 7)]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")

@@ -26,76 +26,81 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
     return m.sentences(spark, d).where(F.size("words") > 0).groupBy("sent_id").agg(F.max("words").alias("words"))
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d).select(F.col("sent_id").alias("line"), F.col("words").alias("ids"))
+
+
 def boundaries(spark: SparkSession, d: str, first: int = 0) -> DataFrame:
-    """Every word of every sentence from position ``first`` on and the words before it: ctx_id (sentence/position), ids, target."""
-    at = _sentences(spark, d).select("sent_id", "words", F.posexplode("words").alias("pos", "target")).where(F.col("pos") >= first)
-    return at.select(F.concat_ws("/", "sent_id", "pos").alias("ctx_id"), F.slice("words", F.lit(1), F.col("pos")).alias("ids"), "target")
+    """Every word of every sentence from position ``first`` on, the word that is to be suggested there: line, pos, target."""
+    return _lines(spark, d).select("line", F.posexplode("ids").alias("pos", "target")).where(F.col("pos") >= first)
 
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Every sentence without its last word, and that word: ctx_id, ids, target. What the SQL of the suggestions asks for."""
+    """Every sentence as a question whose answer is its last word: ctx_id, ids, target."""
     s = _sentences(spark, d)
     n = F.size("words")
     return s.select(F.col("sent_id").alias("ctx_id"), F.slice("words", 1, n - 1).alias("ids"), F.element_at("words", -1).alias("target"))
 
 
-def _suggested(spark: SparkSession, d: str, k: int, hint=None, **variant) -> tuple[DataFrame, DataFrame]:
-    asked = materialize(contexts(spark, d), "contexts")
-    rows = asked.select("ctx_id", "ids", (F.lit("") if hint is None else hint).alias("hint"))
-    return suggest.suggest(rows, _model(spark, d), k, **variant), asked
+def _named(made: DataFrame) -> DataFrame:
+    return made.withColumn("ctx_id", F.concat_ws("/", "line", "pos")).drop("line", "pos")
+
+
+def _suggested(spark: SparkSession, d: str, k: int, hint: str = "", **variant) -> DataFrame:
+    """Suggestions at every word boundary of every sentence, its start included."""
+    asked = boundaries(spark, d).select("line", "pos", F.lit(hint).alias("hint"))
+    return _named(suggest.suggest_lines(_lines(spark, d), asked, _model(spark, d), k, **variant))
 
 
 def longest_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return suggest.longest_prefix(contexts(spark, d), _model(spark, d)).select("ctx_id", "prefix", "length")
+    """The longest stored prefix before every word."""
+    at = boundaries(spark, d).join(_lines(spark, d), "line")
+    rows = at.select(F.concat_ws("/", "line", "pos").alias("ctx_id"), F.slice("ids", F.lit(1), F.col("pos")).alias("ids"))
+    return suggest.longest_prefix(rows, _model(spark, d)).select("ctx_id", "prefix", "length")
 
 
 def suggest_ngram(spark: SparkSession, d: str) -> DataFrame:
     """The ten best followers of the longest prefix with their expected value."""
-    return _suggested(spark, d, 10)[0].where("tier = 1").select("ctx_id", "rank", "id", "score")
+    return _suggested(spark, d, 10).where("tier = 1").select("ctx_id", "rank", "id", "score")
 
 
 def suggest_bayes(spark: SparkSession, d: str) -> DataFrame:
+    """All that the words of a sentence but the last say of other words."""
     return suggest.bayes_products(contexts(spark, d), _model(spark, d)).select("ctx_id", "candidate", F.col("product").alias("score"))
 
 
 def suggest_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Three suggestions for every context, in the batch variant."""
-    return _suggested(spark, d, K)[0].drop("hint")
+    """Three suggestions before every word, in the batch variant."""
+    return _suggested(spark, d, K).drop("hint")
 
 
 def suggest_app(spark: SparkSession, d: str) -> DataFrame:
     """Four suggestions, in the interactive variant: no odds of the word itself, words of the context allowed."""
-    return _suggested(spark, d, K_APP, with_odds=False, skip_context=False)[0].drop("hint")
+    return _suggested(spark, d, K_APP, with_odds=False, skip_context=False).drop("hint")
 
 
 def suggest_hinted(spark: SparkSession, d: str) -> DataFrame:
     """Three suggestions that start with an s."""
-    return _suggested(spark, d, K, hint=F.lit("s"))[0]
+    return _suggested(spark, d, K, "s")
 
 
 def hit_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """Hits by rank at sentence ends."""
-    made, asked = _suggested(spark, d, 5)
-    return evaluate.hit_histogram(made, asked)
-
-
-def hit_histogram_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Hits by rank at all word boundaries, from the second word of a sentence on."""
-    asked = materialize(boundaries(spark, d, 1), "contexts")
-    made = suggest.suggest(asked.select("ctx_id", "ids", F.lit("").alias("hint")), _model(spark, d), 5)
-    return evaluate.hit_histogram(made, asked)
+    asked = materialize(boundaries(spark, d, 1), "boundaries")
+    made = suggest.suggest_lines(_lines(spark, d), asked.select("line", "pos", F.lit("").alias("hint")), _model(spark, d), 5)
+    return evaluate.hit_histogram(made, asked, evaluate.PLACE)
 
 
 def _strokes(spark: SparkSession, d: str) -> DataFrame:
     # Spelled from the unpruned words: a target outside the dictionary is never suggested and costs its length.
-    spelled = m.stored(spark, d)["words"].select(F.col("id").alias("target"), "word").dropDuplicates(["target"])
+    spelled = m.stored(spark, d)["words"].groupBy(F.col("id").alias("target")).agg(F.max("word").alias("word"))
     mod, named = _model(spark, d), boundaries(spark, d).join(spelled, "target", "left")
-    return evaluate.keystrokes(materialize(named, "targets"), mod, K)
+    return evaluate.line_keystrokes(_lines(spark, d), materialize(named, "targets"), mod, K)
 
 
 def keystrokes(spark: SparkSession, d: str) -> DataFrame:
     """Keystrokes per word boundary; null where the next word has no spelling."""
-    return _strokes(spark, d)
+    return _named(_strokes(spark, d))
 
 
 def success_ratio(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +203,7 @@ def sorted_list(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        longest_prefix, suggest_ngram, suggest_bayes, suggest_topk, suggest_app, suggest_hinted, hit_histogram, hit_histogram_boundaries, keystrokes, success_ratio, top_followers, suggestion_dictionary,
+        longest_prefix, suggest_ngram, suggest_bayes, suggest_topk, suggest_app, suggest_hinted, hit_histogram, keystrokes, success_ratio, top_followers, suggestion_dictionary,
         dictionary_stats, dict_lookup, ml_probability, continuation_counts, kneser_ney, combined_score, multiple_choice, split_input, accept_suggestion, sorted_list,
     )
 }
@@ -208,12 +213,16 @@ c0 AS (SELECT sent_id, max(w) AS w FROM s WHERE len(w) > 0 GROUP BY 1),
 ctx AS (SELECT sent_id AS ctx_id, w[1:len(w) - 1] AS ids, w[-1] AS target FROM c0)"""
 _BOUNDARIES = """,
 c0 AS (SELECT sent_id, max(w) AS w FROM s WHERE len(w) > 0 GROUP BY 1),
-ctx AS (SELECT concat_ws('/', sent_id, i) AS ctx_id, w[1:i] AS ids, w[i + 1] AS target FROM (SELECT sent_id, w, unnest(range(1, len(w))) AS i FROM c0))"""
+ctx AS (SELECT concat_ws('/', sent_id, i) AS ctx_id, w[1:i] AS ids, w[i + 1] AS target FROM (SELECT sent_id, w, unnest(range(%d, len(w))) AS i FROM c0))"""
+_ASKED = "asked AS (SELECT ctx_id, {} AS hint FROM ctx)"
+_TYPED = """spelled AS (SELECT id AS target, max(word) AS word FROM w0 GROUP BY 1),
+truth AS (SELECT ctx_id, target, word FROM ctx LEFT JOIN spelled USING (target)),
+asked AS (SELECT ctx_id, substr(word, 1, h) AS hint FROM (SELECT ctx_id, word, unnest(range(greatest(length(word), 1))) AS h FROM truth WHERE word IS NOT NULL))"""
 
 
-def _candidates(odds: bool = True, skip: bool = True) -> str:
+def _candidates(odds: bool = True, skip: bool = True, places: str = _BOUNDARIES % 0) -> str:
     start = "o.odds * " if odds else ""
-    return f"""WITH {m.SENTENCES}, {m.CLEAN}{_CONTEXTS},
+    return f"""WITH {m.SENTENCES}, {m.CLEAN}{places},
 total AS (SELECT CAST(sum(occurences) AS DOUBLE) AS t FROM w1),
 odds AS (SELECT id, occurences / nullif((SELECT t FROM total) - occurences, 0) AS odds FROM w1),
 pos AS (SELECT ctx_id, ids, unnest(ids) AS condition, unnest(range(len(ids))) AS pos FROM ctx),
@@ -232,22 +241,31 @@ cand AS (SELECT coalesce(fol.ctx_id, prod.ctx_id) AS ctx_id, coalesce(fol.candid
   FROM fol FULL JOIN prod ON fol.ctx_id = prod.ctx_id AND fol.candidate = prod.candidate)"""
 
 
-def _suggest(k: int, hint: str = "''", odds: bool = True, skip: bool = True, tail: str = "") -> str:
+def _suggest(k: int, asked: str = _ASKED.format("''"), odds: bool = True, skip: bool = True, first: int = 0) -> str:
     return (
-        _candidates(odds, skip)
+        _candidates(odds, skip, _BOUNDARIES % first)
         + f""",
-named AS (SELECT ctx_id, candidate, tier, score, word FROM cand JOIN w1 ON w1.id = candidate WHERE word IS NOT NULL AND starts_with(word, {hint}) AND NOT isnan(score)),
-first AS (SELECT *, row_number() OVER (PARTITION BY ctx_id ORDER BY tier, score DESC, candidate) AS rank FROM named QUALIFY rank <= {k}),
-had AS (SELECT ctx_id, max(rank) AS had, list(candidate) AS taken FROM first GROUP BY 1),
-large AS (SELECT id, word, occurences, row_number() OVER (ORDER BY occurences DESC NULLS LAST, id) AS place FROM w1 WHERE word IS NOT NULL AND starts_with(word, {hint}) QUALIFY place <= {2 * k - 1}),
-fill AS (SELECT ctx.ctx_id, large.id AS candidate, word, occurences, coalesce(had, 0) + row_number() OVER (PARTITION BY ctx.ctx_id ORDER BY place) AS rank
-  FROM ctx LEFT JOIN had USING (ctx_id), large WHERE coalesce(had, 0) < {k} AND (taken IS NULL OR NOT list_contains(taken, large.id)) QUALIFY rank <= {k}),
-made AS (SELECT ctx_id, rank, candidate AS id, word, CAST(tier AS BIGINT) AS tier, score FROM first UNION ALL SELECT ctx_id, rank, candidate, word, 3, CAST(occurences AS DOUBLE) FROM fill)
+{asked},
+named AS (SELECT ctx_id, hint, candidate, tier, score, word FROM cand JOIN w1 ON w1.id = candidate JOIN asked USING (ctx_id) WHERE word IS NOT NULL AND starts_with(word, hint) AND NOT isnan(score)),
+first AS (SELECT *, row_number() OVER (PARTITION BY ctx_id, hint ORDER BY tier, score DESC, candidate) AS rank FROM named QUALIFY rank <= {k}),
+had AS (SELECT ctx_id, hint, max(rank) AS had, list(candidate) AS taken FROM first GROUP BY 1, 2),
+begun AS (SELECT id, word, occurences, substr(word, 1, unnest(range(length(word) + 1))) AS hint FROM w1 WHERE word IS NOT NULL),
+large AS (SELECT hint, id, word, occurences, row_number() OVER (PARTITION BY hint ORDER BY occurences DESC NULLS LAST, id) AS place FROM begun JOIN (SELECT DISTINCT hint FROM asked) USING (hint) QUALIFY place <= {2 * k - 1}),
+fill AS (SELECT asked.ctx_id, asked.hint, large.id AS candidate, word, occurences, coalesce(had, 0) + row_number() OVER (PARTITION BY asked.ctx_id, asked.hint ORDER BY place) AS rank
+  FROM asked LEFT JOIN had USING (ctx_id, hint) JOIN large ON large.hint = asked.hint WHERE coalesce(had, 0) < {k} AND (taken IS NULL OR NOT list_contains(taken, large.id)) QUALIFY rank <= {k}),
+made AS (SELECT ctx_id, hint, rank, candidate AS id, word, CAST(tier AS BIGINT) AS tier, score FROM first UNION ALL SELECT ctx_id, hint, rank, candidate, word, 3, CAST(occurences AS DOUBLE) FROM fill)
 """
-        + tail
     )
 
 
+_STROKES = (
+    _suggest(K, _TYPED)
+    + """, reached AS (SELECT ctx_id, min(length(made.hint)) AS typed FROM made JOIN truth USING (ctx_id) WHERE made.id = target GROUP BY 1),
+strokes AS (SELECT ctx_id, CAST(coalesce(typed + 1, length(word)) AS BIGINT) AS strokes, coalesce(typed = 0, false) AS first_guess, CAST(length(word) AS BIGINT) AS length FROM truth LEFT JOIN reached USING (ctx_id))
+"""
+)
+
+
 _GRAMS = t.SQL["ngram_counts_n"].rsplit("SELECT n,", 1)
 _GRAMS = _GRAMS[0] + ", g AS (SELECT n," + _GRAMS[1] + ")"
 _GRAMS = _GRAMS.replace("<> 1)\n, g", "<> 1), g")
@@ -283,16 +301,16 @@ _IDS = "array_to_string({}, ' ')"
 SQL: dict[str, str] = {
     "longest_prefix": _candidates() + " SELECT ctx_id, prefix, length FROM lp",
     "suggest_ngram": _suggest(10) + " SELECT ctx_id, rank, id, score FROM made WHERE tier = 1",
-    "suggest_bayes": _candidates() + " SELECT ctx_id, candidate, product AS score FROM prod",
+    "suggest_bayes": _candidates(places=_CONTEXTS) + " SELECT ctx_id, candidate, product AS score FROM prod",
     "suggest_topk": _suggest(K) + " SELECT ctx_id, rank, id, word, tier, score FROM made",
     "suggest_app": _suggest(K_APP, odds=False, skip=False) + " SELECT ctx_id, rank, id, word, tier, score FROM made",
-    "suggest_hinted": _suggest(K, hint="'s'") + f" SELECT ctx_id, 's' AS hint, rank, id, word, tier, score FROM made",
-    "hit_histogram": _suggest(5)
-    + """, hits AS (SELECT ctx_id, min(rank) AS rank FROM made JOIN ctx USING (ctx_id) WHERE made.id = target GROUP BY 1)
-SELECT coalesce(rank, 0) AS tries, count(*) AS "count" FROM ctx LEFT JOIN hits USING (ctx_id) GROUP BY 1""",
-    "hit_histogram_boundaries": _suggest(5).replace(_CONTEXTS, _BOUNDARIES)
+    "suggest_hinted": _suggest(K, _ASKED.format("'s'")) + " SELECT ctx_id, hint, rank, id, word, tier, score FROM made",
+    "hit_histogram": _suggest(5, first=1)
     + """, hits AS (SELECT ctx_id, min(rank) AS rank FROM made JOIN ctx USING (ctx_id) WHERE made.id = target GROUP BY 1)
 SELECT coalesce(rank, 0) AS tries, count(*) AS "count" FROM ctx LEFT JOIN hits USING (ctx_id) GROUP BY 1""",
+    "keystrokes": _STROKES + " SELECT * FROM strokes",
+    "success_ratio": _STROKES
+    + """ SELECT count(*) AS words, count(*) FILTER (first_guess) AS found, CAST(sum(strokes) AS BIGINT) AS strokes, CAST(sum(length) AS BIGINT) AS characters FROM strokes""",
     "top_followers": _GRAMS
     + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY occurences DESC, follower) AS rank FROM g)
 SELECT prefix, CAST(sum(occurences) AS BIGINT) AS total, string_agg(follower, ' ' ORDER BY rank) FILTER (rank <= 5) AS suggestions FROM ranked GROUP BY prefix""",
