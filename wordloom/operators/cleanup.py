@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,31 +35,33 @@ def prefix_levels(prefixes: DataFrame, depth: int = DELETED_LEVEL) -> DataFrame:
     return found.groupBy("id").agg(F.min("level").alias("level"))
 
 
-def cleanup(words: DataFrame, bayes: DataFrame, prefixes: DataFrame, ngrams: DataFrame, fixpoint: int = 1) -> dict[str, DataFrame]:
+def cleanup(words: DataFrame, bayes: DataFrame, prefixes: DataFrame, ngrams: DataFrame, fixpoint: int = 1, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:
     """The pruned tables, by name; deletions in the fixed order in which they are observable.
 
     Prefixes of the deleted level go, then factors inside their dead bands, then pairs
     with an unknown word, prefixes with an unknown word, without an n-gram or with a
     missing parent (``fixpoint`` passes; one pass leaves grandchildren), n-grams
-    without prefix or follower, and words to which nothing refers.
+    without prefix or follower, and words to which nothing refers.  ``keep`` gets every
+    table that is read more than once, with a name, and may write it.
     """
     semi = lambda df, col, other, key: df.join(other.select(F.col(key).alias(col)).distinct(), col, "left_semi").select(*df.columns)
     deep = prefix_levels(prefixes).where(F.col("level") == DELETED_LEVEL)
     prefixes = prefixes.join(deep.select("id"), "id", "left_anti").select(*prefixes.columns)
-    ngrams = ngrams.where(outside_band(F.col("factor"), NGRAM_BAND))
+    ngrams = keep(ngrams.where(outside_band(F.col("factor"), NGRAM_BAND)), "banded-ngrams")
     bayes = bayes.where(outside_band(F.col("factor"), BAYES_BAND))
-    bayes = semi(semi(bayes, "condition", words, "id"), "conditional", words, "id")
-    prefixes = semi(semi(prefixes, "word", words, "id"), "id", ngrams, "prefix")
+    bayes = keep(semi(semi(bayes, "condition", words, "id"), "conditional", words, "id").drop("occurences"), "pruned-bayes")
+    prefixes = keep(semi(semi(prefixes, "word", words, "id"), "id", ngrams, "prefix"), "used-prefixes")
     for _ in range(fixpoint):
         inner = semi(prefixes.where("parent <> -1"), "parent", prefixes, "id")
         prefixes = prefixes.where("parent = -1").unionByName(inner)
-    ngrams = semi(semi(ngrams, "prefix", prefixes, "id"), "follower", words, "id")
+    prefixes = keep(prefixes, "pruned-prefixes")
+    ngrams = keep(semi(semi(ngrams, "prefix", prefixes, "id"), "follower", words, "id"), "pruned-ngrams")
     used = None
     for frame, column in ((bayes, "condition"), (bayes, "conditional"), (prefixes, "word"), (ngrams, "follower")):
         ids = frame.select(F.col(column).alias("id"))
         used = ids if used is None else used.unionByName(ids)
-    words = semi(words, "id", used, "id")
-    return {"words": words, "bayes": bayes.drop("occurences"), "prefixes": prefixes, "ngrams": ngrams}
+    words = keep(semi(words, "id", used, "id"), "pruned-words")
+    return {"words": words, "bayes": bayes, "prefixes": prefixes, "ngrams": ngrams}
 
 
 def model_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -87,10 +87,10 @@ def stored(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 def pruned(spark: SparkSession, d: str, write: bool = False) -> dict[str, DataFrame]:
     t = stored(spark, d)
-    if write:
-        t = {k: materialize(v, f"stored-{k}") for k, v in t.items()}
-    out = cleanup.cleanup(t["words"], t["bayes"], t["prefixes"], t["ngrams"])
-    return {k: materialize(v, f"pruned-{k}") for k, v in out.items()} if write else out
+    if not write:
+        return cleanup.cleanup(t["words"], t["bayes"], t["prefixes"], t["ngrams"])
+    t |= {k: materialize(t[k], f"stored-{k}") for k in ("words", "prefixes")}
+    return cleanup.cleanup(t["words"], t["bayes"], t["prefixes"], t["ngrams"], keep=materialize)
 
 
 def _cleaned(name: str) -> Callable[[SparkSession, str], DataFrame]:
