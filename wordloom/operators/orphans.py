@@ -2,9 +2,10 @@
 
 Parent keys are compressed into runs of consecutive integers.  Each reference is
 matched as-of to the run that starts at or before it; a key beyond the run's end
-has no parent.  A run also carries from when and until when all of its keys are
-surely valid, so most references are settled by the run alone; the few between
-the bounds are checked against the parent rows themselves.
+has no parent.  A run also carries from when and until when its keys are valid.  It
+holds only keys that are valid over all the time in which its bucket is referred to;
+any other key is a run of its own, so that its own times decide.  What is left for an
+exact check against the parent rows are references to ids stored in several versions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.session import shuffle_partitions
+from wordloom.storage import materialize
 
 
 @dataclass(frozen=True)
@@ -44,16 +46,22 @@ class Parent:
 
 #: Keys per bucket, a power of two: a run never crosses a bucket, so buckets are independent.
 BUCKET_BITS = 14
+#: References that one task matches at most, about.
+TASK_ROWS = 1 << 21
+#: Hot buckets up to which their list is broadcast.
+HOT_LISTED = 100_000
 _FAR = "TIMESTAMP_NTZ'9999-12-31 23:59:59'"
 
 
-def key_runs(parents: Sequence[Parent], bits: int = BUCKET_BITS) -> DataFrame:
+def key_runs(parents: Sequence[Parent], bits: int = BUCKET_BITS, spans: DataFrame | None = None) -> DataFrame:
     """Runs of consecutive parent ids: target, bucket, run_start, run_end and four bounds.
 
     ``sure_from``/``sure_to``: every id of the run is valid in [from, to).
     ``never_before``/``never_from``: no id of the run is valid before / from then on.
-    Null ids are left out; an id stored in several differing versions is never
-    "sure", so its references go to the exact check.
+    ``spans`` (target, bucket, first_at, last_at): when a bucket is referred to; a key
+    that is not valid all that time is a run of its own, and so is an id stored in
+    several differing versions, which is never "sure", so that its references go to the
+    exact check.  Null ids are left out.
     """
     far, frames = F.expr(_FAR), []
     for p in parents:
@@ -76,16 +84,21 @@ def key_runs(parents: Sequence[Parent], bits: int = BUCKET_BITS) -> DataFrame:
         "target", "id", F.shiftright("id", bits).alias("bucket"),
         F.when(one, F.col("s1")).otherwise(far).alias("sure_from"), "u0", "s0", "u1",
     )
-    w = Window.partitionBy("target", "bucket").orderBy("id")
+    calm = F.col("sure_from") < far
+    if spans is not None:
+        ids = ids.join(spans.select("target", "bucket", "first_at", "last_at"), ["target", "bucket"], "left")
+        calm &= F.coalesce((F.col("sure_from") <= F.col("first_at")) & (F.col("u0") > F.col("last_at")), F.lit(True))
+    ids = ids.withColumn("calm", calm)
+    w = Window.partitionBy("target", "bucket", "calm").orderBy("id")
     return (
-        ids.withColumn("island", F.col("id") - F.row_number().over(w))
-        .groupBy("target", "bucket", "island")
+        ids.withColumn("island", F.when(F.col("calm"), F.col("id") - F.row_number().over(w)).otherwise(F.col("id")))
+        .groupBy("target", "bucket", "calm", "island")
         .agg(
             F.min("id").alias("run_start"), F.max("id").alias("run_end"),
             F.max("sure_from").alias("sure_from"), F.min("u0").alias("sure_to"),
             F.min("s0").alias("never_before"), F.max("u1").alias("never_from"),
         )
-        .drop("island")
+        .drop("calm", "island")
     )
 
 
@@ -116,18 +129,19 @@ def dangling_references(references: Sequence[Reference], parents: Sequence[Paren
         refs = refs.unionByName(f)
     refs = refs.withColumn("bucket", F.shiftright("ref_key", bits))
 
-    # Buckets above an equal share: fewer than 4 x width of them, so the salt table is bounded.
-    width = 4 * shuffle_partitions(spark)
-    counts = refs.groupBy("target", "bucket").count().persist()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    share = max(1, -(-total // width))
-    salts = [(r["target"], r["bucket"], -(-r["count"] // share)) for r in counts.where(F.col("count") > share).collect()]
-    counts.unpersist()
-    hot = spark.createDataFrame(salts, "target string, bucket bigint, salts bigint")
+    # Buckets above an equal share: fewer than the tasks, and their list is one row each.
+    spans = refs.groupBy("target", "bucket").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    spans = materialize(spans, "reference-spans")
+    total = spans.agg(F.sum("count")).first()[0] or 0
+    tasks = max(shuffle_partitions(spark), -(-total // TASK_ROWS))
+    share = max(1, -(-total // (4 * tasks)))
+    salts = spans.where(F.col("count") > share).select("target", "bucket", F.ceil(F.col("count") / share).alias("salts"))
 
-    runs = key_runs(parents, bits).join(F.broadcast(hot), ["target", "bucket"], "left")
+    runs = key_runs(parents, bits, spans).join(salts, ["target", "bucket"], "left")
     runs = runs.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.coalesce("salts", F.lit(1)) - 1).cast("int"))))
-    refs = refs.join(F.broadcast(hot), ["target", "bucket"], "left")
+    # The list is joined to all references without moving them while it is small.
+    few = salts.count() <= HOT_LISTED
+    refs = refs.join(F.broadcast(salts) if few else salts, ["target", "bucket"], "left")
     refs = refs.withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row_key"), F.col("salts"))).cast("int"))
 
     bounds = ["run_end", "sure_from", "sure_to", "never_before", "never_from"]
@@ -136,6 +150,7 @@ def dangling_references(references: Sequence[Reference], parents: Sequence[Paren
     w = Window.partitionBy("target", "bucket", "salt").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
     matched = (
         left.unionByName(right, allowMissingColumns=True)
+        .repartition(tasks, "target", "bucket", "salt")
         .withColumn("run", F.last("run", ignorenulls=True).over(w))
         .where("kind = 1")
     )
@@ -146,7 +161,7 @@ def dangling_references(references: Sequence[Reference], parents: Sequence[Paren
     )
     cases = open_.select("ref_field", "target", F.col("pos").alias("ref_key"), "at", "row_key", "surely").distinct()
 
-    # Between the bounds: ask the parent rows.  Settled cases carry a key of their own row instead of
+    # Ids in several versions: ask the parent rows.  Settled cases carry a key of their own row instead of
     # the parent's, so that they pass the anti join spread out and without a match.
     live = None
     for p in parents:
