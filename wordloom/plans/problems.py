@@ -122,6 +122,12 @@ GROUP BY prefix HAVING count(*) * 50 > (SELECT count(*) FROM ngram_t)""",
     "p4_condition_totals": """
 SELECT condition, count(*) AS n_rows, CAST(sum(occurences) AS BIGINT) AS sum_value, min(occurences) AS min_value, max(occurences) AS max_value
 FROM bayes_t WHERE condition IS NOT NULL GROUP BY condition""",
+    # In the order of the stored rows, which is that of the scan as long as a table is one file.
+    "p4_prefix_states": """
+WITH r AS (SELECT prefix, occurences AS v, row_number() OVER () AS rn FROM ngram_t),
+s AS (SELECT *, row_number() OVER w > 1 AND v IS DISTINCT FROM lag(v) OVER w AS changed FROM r WHERE prefix IS NOT NULL WINDOW w AS (PARTITION BY prefix ORDER BY rn))
+SELECT prefix, count(*) AS n_rows, CAST(sum(v) AS BIGINT) AS sum_value, min(v) AS min_value, max(v) AS max_value,
+  (min_by([v], rn))[1] AS first_value, (max_by([v], rn))[1] AS last_value, count(*) FILTER (changed) AS changes FROM s GROUP BY prefix""",
     "p6_found": """
 WITH RECURSIVE nodes AS (SELECT id, min(parent) AS parent FROM prefix_t WHERE id IS NOT NULL GROUP BY id),
 ended(id) AS (
