@@ -96,7 +96,7 @@ def _place(links: DataFrame, level: int, parts: int, nodes: int) -> DataFrame:
     parent's id points: a quarter of all links then lie inside a fragment however
     many fragments there are, so even one endless chain shrinks in every round.
     Children of a parent with very many children always go by their own id; there
-    are fewer than 8 x parts such parents.
+    are fewer than 8 x parts such parents, and by their size the list is broadcast or not.
     """
     if parts == 1:
         return links.coalesce(1)
@@ -104,7 +104,7 @@ def _place(links: DataFrame, level: int, parts: int, nodes: int) -> DataFrame:
     many = many.select("parent", F.lit(True).alias("many"))
     stays = (F.pmod(F.xxhash64("id", F.lit(level)), F.lit(2)) == 0) | F.col("parent").isNull() | F.col("many").isNotNull()
     home = F.when(stays, F.col("id")).otherwise(F.col("parent"))
-    return links.join(F.broadcast(many), "parent", "left").repartition(parts, F.xxhash64(home, F.lit(level))).drop("many")
+    return links.join(many, "parent", "left").repartition(parts, F.xxhash64(home, F.lit(level))).drop("many")
 
 
 def _solve(links: DataFrame, level: int, nodes: int, with_paths: bool, fragment_nodes: int) -> DataFrame:
