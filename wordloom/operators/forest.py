@@ -25,8 +25,9 @@ NONE = np.iinfo(np.int64).min
 
 #: One link of the (contracted) forest: from ``id`` over ``hops`` original nodes to ``parent``.
 #: ``low`` is the smallest id on the way, ``top`` the last node before ``parent``, ``cycle`` the
-#: cycle into which the chain is known to run, ``seg`` the ids on the way, topmost first.
-_LINK = "id bigint, parent bigint, hops bigint, low bigint, top bigint, cycle bigint, seg array<bigint>"
+#: cycle into which the chain is known to run; with paths also ``seg``, the ids on the way, topmost first.
+_LINK = "id bigint, parent bigint, hops bigint, low bigint, top bigint, cycle bigint"
+_SEGMENT = ", seg array<bigint>"
 
 
 def contract(ids: np.ndarray, parent: np.ndarray, hops: np.ndarray, low: np.ndarray, top: np.ndarray, cycle: np.ndarray):
@@ -81,9 +82,10 @@ def _fragment(with_paths: bool):
         col = lambda name: t[name].fill_null(NONE).to_numpy()
         ids, parent = col("id"), col("parent")
         exit_, hops, low, top, cycle = contract(ids, parent, col("hops"), col("low"), col("top"), col("cycle"))
-        paths = segments(ids, parent, t["seg"].to_pylist()) if with_paths else [None] * len(ids)
         null = lambda a: pa.array(a, mask=a == NONE)
-        out = pa.table({"id": ids, "parent": null(exit_), "hops": hops, "low": low, "top": top, "cycle": null(cycle), "seg": pa.array(paths, pa.list_(pa.int64()))})
+        out = pa.table({"id": ids, "parent": null(exit_), "hops": hops, "low": low, "top": top, "cycle": null(cycle)})
+        if with_paths:
+            out = out.append_column("seg", pa.array(segments(ids, parent, t["seg"].to_pylist()), pa.list_(pa.int64())))
         yield from out.to_batches(max_chunksize=20_000)
 
     return solve
@@ -110,9 +112,10 @@ def _place(links: DataFrame, level: int, parts: int, nodes: int) -> DataFrame:
 def _solve(links: DataFrame, level: int, nodes: int, with_paths: bool, fragment_nodes: int) -> DataFrame:
     """Per node of ``links``: id, root, hops (nodes from the root down to it), cycle, path, dangling."""
     parts = 1 if nodes <= fragment_nodes else -(-2 * nodes // fragment_nodes)
-    names = [x.split()[0] for x in _LINK.split(", ")]
+    schema = _LINK + (_SEGMENT if with_paths else "")
+    names = [x.split()[0] for x in schema.split(", ")]
     placed = _place(links.select(*names), level, parts, nodes).select(*names)
-    solved = materialize(placed.mapInArrow(_fragment(with_paths), _LINK), f"forest-{level}")
+    solved = materialize(placed.mapInArrow(_fragment(with_paths), schema), f"forest-{level}")
     above = None
     if parts > 1:
         exits = solved.where("parent is not null").select(F.col("parent").alias("id")).distinct()
@@ -121,15 +124,17 @@ def _solve(links: DataFrame, level: int, nodes: int, with_paths: bool, fragment_
             above = _solve(quotient, level + 1, size, with_paths, fragment_nodes)
     if above is None:
         # No node is left above: an exit without a row is a missing parent.
-        return solved.select("id", F.col("top").alias("root"), "hops", "cycle", F.col("seg").alias("path"), F.col("parent").isNotNull().alias("dangling"))
-    above = above.select(F.col("id").alias("parent"), *(F.col(c).alias(f"x_{c}") for c in ("root", "hops", "cycle", "path", "dangling")))
+        path = [F.col("seg").alias("path")] if with_paths else []
+        return solved.select("id", F.col("top").alias("root"), "hops", "cycle", *path, F.col("parent").isNotNull().alias("dangling"))
+    above = above.select(*(F.col(c).alias("parent" if c == "id" else f"x_{c}") for c in above.columns))
     found = F.col("x_root").isNotNull()
+    path = [F.when(found, F.concat("x_path", "seg")).otherwise(F.col("seg")).alias("path")] if with_paths else []
     return solved.join(above, "parent", "left").select(
         "id",
         F.coalesce("x_root", "top").alias("root"),
         (F.coalesce("x_hops", F.lit(0)) + F.col("hops")).alias("hops"),
         F.coalesce("cycle", "x_cycle").alias("cycle"),
-        F.when(found, F.concat("x_path", "seg")).otherwise(F.col("seg")).alias("path"),
+        *path,
         F.when(found, F.col("x_dangling")).otherwise(F.col("parent").isNotNull()).alias("dangling"),
     )
 
@@ -152,7 +157,7 @@ def hierarchy(df: DataFrame, id: str = "id", parent: str = "parent", root_marker
     none = F.lit(None)
     links = one.select(
         "id", "parent", F.lit(1).cast("bigint").alias("hops"), F.col("id").alias("low"), F.col("id").alias("top"),
-        none.cast("bigint").alias("cycle"), (F.array("id") if with_paths else none.cast("array<bigint>")).alias("seg"),
+        none.cast("bigint").alias("cycle"), *([F.array("id").alias("seg")] if with_paths else []),
     )
     links = materialize(links, "forest-links")
     solved = _solve(links, 0, links.count(), with_paths, fragment_nodes)
