@@ -3,7 +3,9 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from wordloom.llm.mixing import curriculum, mix, plan_mix, source_name
+from pyspark.sql import functions as F
+
+from wordloom.llm.mixing import curriculum, mix, normalised, plan_mix, position, source_name
 
 
 def records(n=3000):
@@ -70,3 +72,21 @@ def test_nothing_to_mix(spark):
 def test_source_names(spark):
     df = spark.createDataFrame([(" Blogs\t",), (" NEWS ",), (None,)], "s string")
     assert [r[0] for r in df.select(source_name(df.s)).collect()] == ["blogs", "news", None]
+
+
+def test_schedules_are_integrated_and_inverted(spark):
+    points = normalised([(0.25, 0), (0.5, 4), (0.75, 0)])
+    assert points[0] == (0.0, 0.0) and points[-1] == (1.0, 0.0)
+    with pytest.raises(ValueError):
+        normalised([(0.5, 0.0)])
+    df = spark.createDataFrame([(u / 20,) for u in range(21)], "u double").select("u", position(F.col("u"), points).alias("t"))
+    at = lambda t: sum(max(0, min(t, b) - a) * (va + (vb - va) * (min(t, b) - a) / (b - a) / 2 * 1) if t > a else 0 for (a, va), (b, vb) in zip(points, points[1:]))
+    for r in df.collect():
+        assert at(r.t) == pytest.approx(r.u, abs=1e-9)
+
+
+def test_a_source_comes_when_its_schedule_says(spark):
+    rows = [(k, "ab"[k % 2], 10, 0) for k in range(2000)]
+    plans = plan_mix(supply_of(rows), {"a": (0.5, 1), "b": (0.5, 1)}, schedules={"a": [(0, 1), (0.5, 0), (1, 0)]})
+    got = mix(spark.createDataFrame(rows, "doc long, src string, n long, chunk int"), plans, "doc", "src", "n", chunk_rows=100).collect()
+    assert len(got) == 2000 and max(r.position for r in got if r.source == "a") <= 0.5 and max(r.position for r in got if r.source == "b") > 0.9

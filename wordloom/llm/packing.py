@@ -19,7 +19,9 @@ from wordloom.storage import materialize
 
 #: Items that one task packs on average; the number of groups follows from it.
 GROUP_ITEMS = 16_384
-#: Containers of the second round are numbered from here; group numbers of the first stay below 2^22.
+#: A container's number is its group's number, shifted, plus its place there: room for 2^24 containers of a group and 2^37 groups.
+_SHIFT = 24
+#: Containers of the second round are numbered from here.
 _SECOND = 1 << 62
 
 
@@ -93,7 +95,7 @@ def _packed(items: DataFrame, key: str, count: int) -> DataFrame:
     columns = ["capacity", "grp", key, "piece", "tokens"]
     parts = max(1, -(-count // GROUP_ITEMS))
     dealt = items.select("capacity", F.col("grp").cast("bigint"), F.col(key).cast("bigint"), F.col("piece").cast("bigint"), F.col("tokens").cast("bigint"))
-    dealt = dealt.repartition(max(1, min(parts, 4096)), "capacity", "grp").sortWithinPartitions("capacity", "grp", F.xxhash64(key, "piece"), key, "piece")
+    dealt = dealt.repartition(parts, "capacity", "grp").sortWithinPartitions("capacity", "grp", F.xxhash64(key, "piece"), key, "piece")
     return dealt.mapInPandas(_pack_group(key, columns), f"capacity bigint, grp bigint, {key} bigint, piece bigint, tokens bigint, number bigint, full boolean")
 
 
@@ -106,6 +108,8 @@ def pack(items: DataFrame, id: str, tokens: str, capacities: Mapping[str, int],
     come out once per kind with a null container_id and 0 tokens.  Rows with equal ids
     are items of their own.  The result depends only on the rows, not on the cluster.
     """
+    if not 0 < group_items <= 1 << (_SHIFT - 2):
+        raise ValueError(f"group_items must be between 1 and {1 << (_SHIFT - 2)}")
     spark = items.sparkSession
     kinds = spark.createDataFrame([(k, int(v)) for k, v in capacities.items()], "container string, capacity bigint")
     sized = materialize(items.select(F.col(id).cast("bigint").alias(id), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("total")), "pack-sizes")
@@ -117,16 +121,18 @@ def pack(items: DataFrame, id: str, tokens: str, capacities: Mapping[str, int],
     pieces = pieces.withColumn("tokens", F.least("capacity", F.col("total") - F.col("piece") * F.col("capacity")))
     n = max(1, sized.count())
     groups = max(1, -(-n // group_items))
+    if groups >= 1 << (61 - _SHIFT):
+        raise ValueError("too many groups to number their containers: raise group_items")
     pieces = pieces.withColumn("grp", F.pmod(F.xxhash64(id, "piece"), F.lit(groups)))
     first = materialize(_packed(pieces, id, n * len(capacities)), "pack-first")
 
-    first = first.withColumn("container_id", F.col("grp") * (1 << 40) + F.col("number"))
+    first = first.withColumn("container_id", F.shiftleft("grp", _SHIFT) + F.col("number"))
     left = first.where("not full").groupBy("capacity", F.col("container_id").alias("unit")).agg(F.sum("tokens").alias("tokens"))
     left = materialize(left, "pack-open")
     m = max(1, left.count())
     again = max(1, -(-m // group_items))
     second = _packed(left.select("capacity", F.pmod(F.xxhash64("unit"), F.lit(again)).alias("grp"), "unit", F.lit(0).alias("piece"), "tokens"), "unit", m)
-    moved = second.select("capacity", F.col("unit").alias("container_id"), (F.lit(_SECOND) + F.col("grp") * (1 << 40) + F.col("number")).alias("final"))
+    moved = second.select("capacity", F.col("unit").alias("container_id"), (F.lit(_SECOND) + F.shiftleft("grp", _SHIFT) + F.col("number")).alias("final"))
     reopened = first.where("not full").join(moved, ["capacity", "container_id"]).withColumn("container_id", F.col("final")).drop("final")
     done = first.where("full").unionByName(reopened)
     named = done.join(F.broadcast(kinds), "capacity").select(

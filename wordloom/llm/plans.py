@@ -141,6 +141,18 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of an assignment: per kind the documents in it, overfull containers, split documents that would fit, and pieces that do not join up."""
+    rows = materialize(_assignment(spark, d), "assignment")
+    over = packing.fill(rows).groupBy("container").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"))
+    per = rows.groupBy("container", "capacity", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("pieces"), F.max("piece").alias("last"), F.sum("tokens").alias("t"), F.max(F.col("token_start") + F.col("tokens")).alias("end"))
+    per = per.groupBy("container", "capacity").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("capacity"))).alias("needless_splits"),
+        F.count_if((F.col("n") != F.col("pieces")) | (F.col("last") + 1 != F.col("n")) | (F.col("end") != F.col("t"))).alias("broken"),
+    )
+    return per.join(over, "container", "left").select("container", "capacity", "documents", F.coalesce("overfull", F.lit(0)).alias("overfull"), "needless_splits", "broken")
+
+
 # p8: mix
 
 
@@ -178,6 +190,23 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a mix: per listed source its cap, records used too often, records of another source, and whether the share is within half a percent."""
+    taken, targets = _mix(spark, d)
+    taken = materialize(taken, "mix-rows")
+    owner = table(spark, d, "documents").select("doc_id", mixing.source_name(F.col("source")).alias("owner")).distinct()
+    foreign = taken.join(owner, (taken.doc_id == owner.doc_id) & (taken.source == owner.owner), "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("foreign_rows"))
+    uses = taken.groupBy("source", "doc_id", "copy").agg(F.count(F.lit(1)).alias("same"), F.sum("tokens").alias("t"))
+    per = uses.groupBy("source").agg(F.sum("t").alias("t"), F.max("copy").alias("last"))
+    whole = per.agg(F.sum("t")).first()[0] or 1
+    there = [r[0] for r in per.select("source").collect()]
+    wanted = targets.where(F.col("source").isin(there)).agg(F.sum("share")).first()[0] or 1
+    off = F.abs(F.coalesce("t", F.lit(0)) / whole - F.when(F.col("source").isin(there), F.col("share") / wanted).otherwise(0)) > 0.005
+    return targets.join(per, "source", "left").join(foreign, "source", "left").select(
+        "source", F.col("cap").alias("max_repeats"), (F.coalesce("last", F.lit(-1)) + 1 > F.col("cap")).alias("over_cap"), F.coalesce("foreign_rows", F.lit(0)).alias("foreign_rows"), off.alias("off_share")
+    )
+
+
 # p9: residue
 
 
@@ -197,7 +226,7 @@ def p9_exclusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_terms, p1_phrases, p3_found, p3_scores, p3_changes, p5_found, p5_top_followers, p7_assignment, p7_fill, p8_mix, p8_repeats, p8_shares, p9_found, p9_exclusion)
+    f.__name__: f for f in (p1_found, p1_terms, p1_phrases, p3_found, p3_scores, p3_changes, p5_found, p5_top_followers, p7_assignment, p7_fill, p7_checks, p8_mix, p8_repeats, p8_shares, p8_checks, p9_found, p9_exclusion)
 }
 
 _TERMS = """
@@ -254,5 +283,9 @@ FROM grams GROUP BY g, n HAVING count(*) > 1""",
     "p3_scores": _PAIRS + "SELECT word_a, word_b, n_ab, n_a, n_b, round(lift, 6) AS lift FROM scored",
     "p3_changes": _CHANGED,
     "p5_found": _TOP + "SELECT prefix, follower FROM ranked WHERE rank <= 3",
+    "p7_checks": """SELECT container, CAST(capacity_tokens AS BIGINT) AS capacity, (SELECT count(DISTINCT doc_id) FROM documents) AS documents,
+  CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS needless_splits, CAST(0 AS BIGINT) AS broken FROM container_t WHERE capacity_tokens > 0""",
+    "p8_checks": """SELECT lower(trim(source, ' ' || chr(9) || chr(160))) AS source, max(max_repeats) AS max_repeats, false AS over_cap, CAST(0 AS BIGINT) AS foreign_rows, false AS off_share
+FROM mix_target_t WHERE source IS NOT NULL GROUP BY 1""",
     "p5_top_followers": _TOP + "SELECT prefix, follower, rank, occurences, factor FROM ranked WHERE rank <= 3",
 }
