@@ -26,15 +26,19 @@ def term(word):
     return F.lower(F.translate(bare, "\u2018\u2019\u02bc", "'''"))
 
 
+def _marked(counted: DataFrame, whole) -> DataFrame:
+    rare = (F.col("total") < RARE_TOTAL) | ((F.col("total") < RARE_SINGLE) & (F.col("records") == 1))
+    common = F.col("total") * COMMON_ONE_IN > whole
+    return counted.withColumn("mark", F.when(common, "common").when(rare, "rare").otherwise("kept"))
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "word_t").select("id", "word", "occurences", "source", "loaded_at", "deleted_at").distinct()
     rows = rows.select(term(F.col("word")).alias("term"), "occurences").where("term <> ''")
     counted = suffixes.ngram_frequencies(rows.select(F.array("term").alias("terms"), "occurences"), "terms", 1, "occurences")
     counted = materialize(counted.select(F.col("ngram")[0].alias("term"), "total", "records"), "terms")
     whole = counted.agg(F.sum("total")).first()[0] or 0
-    rare = (F.col("total") < RARE_TOTAL) | ((F.col("total") < RARE_SINGLE) & (F.col("records") == 1))
-    common = F.col("total") * COMMON_ONE_IN > whole
-    return counted.withColumn("mark", F.when(common, "common").when(rare, "rare").otherwise("kept"))
+    return _marked(counted, F.lit(whole))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,10 +51,12 @@ def p1_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_phrases(spark: SparkSession, d: str) -> DataFrame:
-    """Sequences of up to three words of the sentences: how often, and in how many sentences, from two on."""
+    """All sequences of up to three words of the sentences: how often, in how many sentences, and marked as terms are (common: among those as long)."""
     s = table(spark, d, "sentence_t").select("sent_id", "words").where("sent_id is not null").distinct()
     ids = s.select(F.transform("words", lambda x: x.cast("string")).alias("terms"))
-    return suffixes.ngram_frequencies(ids, "terms", 3).where("total > 1").select(F.array_join("ngram", " ").alias("phrase"), F.col("n").cast("bigint").alias("n"), "total", "records")
+    counted = materialize(suffixes.ngram_frequencies(ids, "terms", 3), "phrases")
+    whole = counted.groupBy("n").agg(F.sum("total").alias("whole"))
+    return _marked(counted.join(F.broadcast(whole), "n"), F.col("whole")).select(F.array_join("ngram", " ").alias("phrase"), F.col("n").cast("bigint").alias("n"), "total", "records", "mark")
 
 
 # p3: pairs
@@ -276,9 +282,10 @@ SQL: dict[str, str] = {
 WITH s AS (SELECT DISTINCT sent_id, words FROM sentence_t WHERE sent_id IS NOT NULL),
 t AS (SELECT sent_id, [x FOR x IN words IF x IS NOT NULL] AS w FROM s),
 starts AS (SELECT sent_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
-grams AS (SELECT sent_id, w[i:i + k - 1] AS g, k AS n FROM starts, (VALUES (1), (2), (3)) AS v(k) WHERE i + k - 1 <= len(w))
-SELECT array_to_string(g, ' ') AS phrase, CAST(n AS BIGINT) AS n, count(*) AS total, count(DISTINCT sent_id) AS records
-FROM grams GROUP BY g, n HAVING count(*) > 1""",
+grams AS (SELECT sent_id, w[i:i + k - 1] AS g, k AS n FROM starts, (VALUES (1), (2), (3)) AS v(k) WHERE i + k - 1 <= len(w)),
+counted AS (SELECT g, n, count(*) AS total, count(DISTINCT sent_id) AS records FROM grams GROUP BY g, n)
+SELECT array_to_string(g, ' ') AS phrase, CAST(n AS BIGINT) AS n, total, records,
+  CASE WHEN total * 200 > sum(total) OVER (PARTITION BY n) THEN 'common' WHEN total < 3 OR (total < 6 AND records = 1) THEN 'rare' ELSE 'kept' END AS mark FROM counted""",
     "p3_found": _PAIRS + "SELECT word_a, word_b FROM scored WHERE lift >= 6.5",
     "p3_scores": _PAIRS + "SELECT word_a, word_b, n_ab, n_a, n_b, round(lift, 6) AS lift FROM scored",
     "p3_changes": _CHANGED,

@@ -25,6 +25,8 @@ from wordloom.session import shuffle_partitions
 
 #: Distinct suffixes that one mapper combines before it passes them on.
 COMBINE = 200_000
+#: Suffixes from which hot prefixes are told, about.
+SAMPLED = 500_000
 
 
 def _emit(sigma: int, hot: frozenset):
@@ -130,28 +132,30 @@ def _stack(sigma: int):
     return run
 
 
+def _slices(n: int):
+    return lambda i: F.slice("terms", i, n)
+
+
 def _hot_prefixes(records: DataFrame, sigma: int, share: int) -> frozenset:
-    """Prefixes that begin more than a ``share``-th of all suffixes, found length by length.
+    """Prefixes that begin about a ``share``-th of all suffixes or more, by a sample of records.
 
-    At most ``share`` per length, so the list is bounded.  A suffix that begins with
-    one is routed by one term more, and the hot prefix is counted apart.
+    At most ``share`` per length, so the list is bounded.  A suffix that begins with one
+    is routed by one term more, and the hot prefix is counted apart; that decides only
+    where rows are counted, not what is counted, so a sample does.
     """
-    hot: set = set()
     if sigma < 2:
         return frozenset()
     total = records.select(F.sum(F.size("terms"))).first()[0] or 0
-    before = None
-    for length in range(1, sigma):
-        starts = F.sequence(F.lit(1), F.greatest(F.size("terms") - (length - 1), F.lit(0)))
-        grams = records.where(F.size("terms") >= length).select(F.explode(F.transform(starts, lambda i: F.slice("terms", i, length))).alias("g"))
-        if before is not None:
-            grams = grams.where(F.slice("g", 1, length - 1).isin([F.array(*map(F.lit, b)) for b in before]))
-        found = [tuple(r[0]) for r in grams.groupBy("g").count().where(F.col("count") > max(1000, total // share)).select("g").collect()]
-        if not found:
-            break
-        hot |= set(found)
-        before = found
-    return frozenset(hot)
+    some = records.sample(min(1.0, SAMPLED / max(total, 1)), seed=1) if total > SAMPLED else records
+    starts = lambda n: F.sequence(F.lit(1), F.size("terms") - (n - 1))
+    grams = None
+    for n in range(1, sigma):
+        of_n = some.where(F.size("terms") >= n).select(F.explode(F.transform(starts(n), _slices(n))).alias("g"))
+        grams = of_n if grams is None else grams.unionByName(of_n)
+    least = max(1000 * min(total, SAMPLED) // max(total, 1), min(total, SAMPLED) // share, 1)
+    found = {tuple(r["g"]) for r in grams.groupBy("g").count().where(F.col("count") > least).select("g").collect()}
+    # A prefix is asked for only below a hot one.
+    return frozenset(g for g in found if all(g[:k] in found for k in range(1, len(g))))
 
 
 def ngram_frequencies(df: DataFrame, terms: str, sigma: int, weight: str | None = None) -> DataFrame:
@@ -169,9 +173,17 @@ def ngram_frequencies(df: DataFrame, terms: str, sigma: int, weight: str | None
     g = [f"g{k + 1}" for k in range(sigma)]
     schema = ", ".join(f"{c} string" for c in g) + ", from_len int, seen int, route int, total bigint, records bigint"
     routed = [F.when(F.col("route") > k, F.col(c)) for k, c in enumerate(g)]
+    if sigma == 1:
+        # Every term is a suffix of its own: nothing to do outside the JVM.
+        one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        row = lambda x, w, r: F.struct(x.alias("g1"), w.alias("w"), r.alias("r"))
+        several = F.concat(F.transform("terms", lambda x: row(x, F.col("weight"), zero)), F.transform(F.array_distinct("terms"), lambda x: row(x, zero, one)))
+        each = records.select(F.explode(F.when(F.size("terms") == 1, F.array(row(F.col("terms")[0], F.col("weight"), one))).otherwise(several)).alias("x")).select("x.*")
+        suffixes = each.groupBy("g1").agg(F.sum("w").alias("total"), F.sum("r").alias("records")).select("*", F.lit(1).alias("from_len"), F.lit(0).alias("seen"))
+    else:
+        suffixes = records.mapInArrow(_emit(sigma, hot), schema)
     return (
-        records.mapInArrow(_emit(sigma, hot), schema)
-        .repartition(width, *[F.col(g[0])] if not hot else [F.xxhash64(*routed)])
+        suffixes.repartition(width, *[F.col(g[0])] if not hot else [F.xxhash64(*routed)])
         .sortWithinPartitions(*[F.col(c).desc_nulls_last() for c in g])
         .mapInArrow(_stack(sigma), "ngram array<string>, n int, total bigint, records bigint")
     )
