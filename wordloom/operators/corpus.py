@@ -123,16 +123,35 @@ def split_bucket(*keys: Column) -> Column:
     return F.pmod(F.floor(mixed / 7), F.lit(1000))
 
 
+def test_point(words: Column, *keys: Column) -> Column:
+    """A position to ask at, from 1 to two before the end, by a hash of integer keys; null in sentences of fewer than three words."""
+    return F.when(F.size(words) > 2, 1 + F.pmod(split_bucket(*keys), F.size(words) - 2))
+
+
 def train_test(rows: DataFrame, keys: Sequence[str], ratio: float) -> DataFrame:
     """Add ``part``: train or test, per row by a hash of its integer keys (null keys count as 0)."""
     bucket = split_bucket(*[F.coalesce(F.col(k).cast("bigint"), F.lit(0)) for k in keys])
     return rows.withColumn("part", F.when(bucket < ratio * 1000, "train").otherwise("test"))
 
 
-def string_ngrams(rows: DataFrame, n_min: int, n_max: int, sentence: str = "sentence") -> DataFrame:
-    """Word n-grams of n_min..n_max words with their counts: n, ngram, occurences."""
+def boundaries(rows: DataFrame, ignore: Sequence[str] = ("^", ","), sentence: str = "sentence") -> DataFrame:
+    """Every word of a sentence that may be asked for and the words before it: the other columns, pos, words, target.
+
+    Marks in ``ignore`` are never asked for but stay among the words before others.
+    """
+    others = [c for c in rows.columns if c != sentence]
+    at = rows.select(*others, F.split(sentence, " ").alias("w")).select(*others, "w", F.posexplode("w").alias("pos", "target"))
+    return at.where(~F.col("target").isin(list(ignore))).select(*others, "pos", F.slice("w", F.lit(1), F.col("pos")).alias("words"), "target")
+
+
+def ngram_rows(rows: DataFrame, n_min: int, n_max: int, sentence: str = "sentence") -> DataFrame:
+    """Every word n-gram of n_min..n_max words where it stands: n, ngram."""
     w = F.split(sentence, " ")
     sized = rows.select(w.alias("w")).withColumn("n", F.explode(F.sequence(F.lit(n_min), F.lit(n_max)))).where(F.size("w") >= F.col("n"))
     starts = F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)
-    grams = sized.select("n", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("ngram"))
-    return grams.groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("occurences"))
+    return sized.select("n", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("ngram"))
+
+
+def string_ngrams(rows: DataFrame, n_min: int, n_max: int, sentence: str = "sentence") -> DataFrame:
+    """Word n-grams of n_min..n_max words with their counts: n, ngram, occurences."""
+    return ngram_rows(rows, n_min, n_max, sentence).groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("occurences"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.operators.cooccur import odds_factor
 from wordloom.operators.corpus import ordered_scan
+from wordloom.storage import materialize
 
 MAX_PREFIX = 4
 
@@ -97,5 +100,23 @@ def fixed_ngrams(rows: DataFrame, n: int, ignore: tuple[str, ...] = ("_", ","),
 
 
 def merge_trees(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Two counted trees as one: counts of equal paths add up, wherever a sub-tree is moved to."""
+    """Two counted trees as one: counts of equal paths add up."""
     return one.select("path", "occurences").unionByName(other.select("path", "occurences")).groupBy("path").agg(F.sum("occurences").alias("occurences"))
+
+
+def move_subtree(tree: DataFrame, source: Sequence[int], target: Sequence[int]) -> DataFrame:
+    """The tree (path, occurences) with the node ``source`` and all below it moved to ``target``.
+
+    Where the target has a node of the same word under the same parent the two become
+    one and their counts add up, all the way down.
+    """
+    under = F.slice("path", 1, len(source)) == F.array(*map(F.lit, source)).cast("array<bigint>")
+    moved = F.concat(F.array(*map(F.lit, target)).cast("array<bigint>"), F.slice("path", F.lit(len(source) + 1), F.size("path")))
+    return tree.select(F.when(under, moved).otherwise(F.col("path")).alias("path"), "occurences").groupBy("path").agg(F.sum("occurences").alias("occurences"))
+
+
+def number_tree(tree: DataFrame) -> DataFrame:
+    """Add id, in depth-first order from 0, and parent (-1 at the top or where the path above is not stored)."""
+    numbered = materialize(ordered_scan(tree.select("path", "occurences"), [F.col("path")]).withColumnRenamed("row_no", "id"), "numbered-tree")
+    above = numbered.select(F.col("path").alias("up"), F.col("id").alias("parent"))
+    return numbered.withColumn("up", F.slice("path", 1, F.size("path") - 1)).join(above, "up", "left").select("path", "id", F.coalesce("parent", F.lit(-1)).alias("parent"), "occurences")

@@ -116,10 +116,10 @@ def top_followers(spark: SparkSession, d: str) -> DataFrame:
     return dictionary.top_followers(n).withColumn("suggestions", F.array_join("suggestions", " "))
 
 
-def _dictionary(spark: SparkSession, d: str) -> DataFrame:
+def _dictionary(spark: SparkSession, d: str, capacity: int = dictionary.N_MAX) -> DataFrame:
     n = materialize(TEXT["ngram_counts_n"](spark, d), "ngrams")
     large = [r["follower"] for r in n.where("n = 1").groupBy("follower").agg(F.sum("occurences").alias("c")).orderBy(F.desc("c"), "follower").limit(dictionary.N_SUG).collect()]
-    return materialize(dictionary.suggestion_dictionary(materialize(dictionary.top_followers(n), "lists"), large), "dictionary")
+    return materialize(dictionary.suggestion_dictionary(materialize(dictionary.top_followers(n), "lists"), large, capacity), "dictionary")
 
 
 def suggestion_dictionary(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +127,15 @@ def suggestion_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return _dictionary(spark, d)
 
 
+#: A capacity below the number of prefixes even of a small collection, so that some are evicted.
+SMALL = 1000
+
+
+def dictionary_evicted(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary with room for a thousand prefixes; the others leave their value to shorter ones."""
+    return _dictionary(spark, d, SMALL)
+
+
 def dictionary_stats(spark: SparkSession, d: str) -> DataFrame:
     return dictionary.dictionary_stats(_dictionary(spark, d))
 
@@ -203,7 +212,7 @@ def sorted_list(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        longest_prefix, suggest_ngram, suggest_bayes, suggest_topk, suggest_app, suggest_hinted, hit_histogram, keystrokes, success_ratio, top_followers, suggestion_dictionary,
+        longest_prefix, suggest_ngram, suggest_bayes, suggest_topk, suggest_app, suggest_hinted, hit_histogram, keystrokes, success_ratio, top_followers, suggestion_dictionary, dictionary_evicted,
         dictionary_stats, dict_lookup, ml_probability, continuation_counts, kneser_ney, combined_score, multiple_choice, split_input, accept_suggestion, sorted_list,
     )
 }
