@@ -7,6 +7,8 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 CORE = ["p2_found", "p4_found", "p4_condition_totals", "p6_found", "p6_hierarchy", "normalize_lines", "mask_rare", "prefix_trie", "cleanup_words", "remap_prefixes", "suggest_topk", "kneser_ney", "combined_score"]
+CORE += ["p4_prefix_states", "hit_histogram", "keystrokes", "suggest_hinted", "sorted_list", "ngram_file_counts", "csv_round_trip", "stream_round_trip", "table_round_trip", "odds_ranking"]
+CORE += ["test_points", "text_hit_histogram", "moved_subtree", "normalize_commas", "normalize_common", "string_ngrams", "bayes_factors", "remap_ngrams"]
 
 
 @pytest.fixture(scope="module")

@@ -234,3 +234,18 @@ def test_sorted_arrays(spark):
     assert tuple(got) == (
         [1, 3, 3, 5, 7], [1, 1, 3, 3, 3, 3, 7, 7], 1, 3, 2, 3, None, [1, 3, 7], [1, 3, 3, 7], 1, 3, None, [1, 3, 3], [1, 3, 7], [1, 3, 3, 7], [3, 3], [3, 3], [7, 3, 3, 1], [1, 1, 3, 3, 3, 3, 7, 7], [7, 3, 3, 1],
     )
+
+
+def test_a_moved_subtree_merges_with_what_is_there(spark):
+    tree = spark.createDataFrame([([1], 3), ([1, 5], 2), ([1, 6], 1), ([2], 4), ([2, 5], 1), ([2, 5, 1], 1)], "path array<bigint>, occurences bigint")
+    moved = ngrams.move_subtree(tree, [1], [2])
+    assert {tuple(r.path): r.occurences for r in moved.collect()} == {(2,): 7, (2, 5): 3, (2, 6): 1, (2, 5, 1): 1}
+    assert {tuple(r.path): (r.id, r.parent) for r in ngrams.number_tree(moved).collect()} == {(2,): (0, -1), (2, 5): (1, 0), (2, 5, 1): (2, 1), (2, 6): (3, 0)}
+    assert ngrams.move_subtree(tree.where("false"), [1], [2]).collect() == []
+
+
+def test_marks_are_not_asked_for_but_stand_before(spark):
+    from wordloom.operators.corpus import boundaries
+
+    df = spark.createDataFrame([(1, "^ a , b"), (2, None), (3, "")], "id int, sentence string")
+    assert [(r.id, r.pos, r.words, r.target) for r in boundaries(df).where("target <> ''").orderBy("pos").collect()] == [(1, 1, ["^"], "a"), (1, 3, ["^", "a", ","], "b")]

@@ -74,3 +74,44 @@ def repeat(a: Column, n: int) -> Column:
 def sort_by_key(a: Column, key) -> Column:
     """Sorted by ``key(element)``, equal keys by the element."""
     return F.transform(F.array_sort(F.transform(a, lambda v: F.struct(key(v).alias("k"), v.alias("v")))), lambda s: s["v"])
+
+
+def setitem(a: Column, i: int, x) -> Column:
+    """With x in place of element i (from 0, negative from the end); null where that would not be sorted or i is beyond."""
+    at = F.lit(i + 1) if i >= 0 else F.size(a) + i + 1
+    put = F.transform(a, lambda v, k: F.when(k == at - 1, F.lit(x)).otherwise(v))
+    return F.when((at >= 1) & (at <= F.size(a)) & (put == F.array_sort(put)), put)
+
+
+def insert(a: Column, i: int, x) -> Column:
+    """With x before element i (from 0, at most the size); null where that would not be sorted."""
+    at = F.least(F.lit(i), F.size(a))
+    put = F.concat(F.slice(a, F.lit(1), at), F.array(F.lit(x)).cast("array<bigint>"), F.slice(a, at + 1, F.size(a)))
+    return F.when(put == F.array_sort(put), put)
+
+
+def extend(a: Column, other: Column) -> Column:
+    """With the elements of ``other`` behind; null where that would not be sorted."""
+    put = F.concat(a, other)
+    return F.when(put == F.array_sort(put), put)
+
+
+def compare(a: Column, other: Column) -> Column:
+    """-1, 0 or 1: whether a comes before, equals or comes after ``other``, element by element."""
+    return F.when(a < other, -1).when(a == other, 0).when(a > other, 1).cast("bigint")
+
+
+def bisect_key_left(a: Column, k, key) -> Column:
+    """Number of elements whose key is below k."""
+    return F.size(F.filter(a, lambda v: key(v) < k)).cast("bigint")
+
+
+def bisect_key_right(a: Column, k, key) -> Column:
+    """Number of elements whose key is at most k."""
+    return F.size(F.filter(a, lambda v: key(v) <= k)).cast("bigint")
+
+
+def irange_key(a: Column, low, high, key, inclusive: tuple[bool, bool] = (True, True)) -> Column:
+    """Elements whose keys lie between two bounds, each with or without the bound itself, in order of their keys."""
+    inside = F.filter(a, lambda v: (key(v) >= low if inclusive[0] else key(v) > low) & (key(v) <= high if inclusive[1] else key(v) < high))
+    return sort_by_key(inside, key)

@@ -206,6 +206,10 @@ def sorted_list(spark: SparkSession, d: str) -> DataFrame:
         sa.bisect_right(F.col("a"), 100).alias("right_of"), sa.count(F.col("a"), x).alias("counted"), sa.index(F.col("a"), F.element_at("a", -1)).alias("found_at"),
         sa.getitem(F.col("a"), -1).alias("last"), text(sa.pop(F.col("a"))).alias("popped"), text(sa.islice(F.col("a"), 1, 3)).alias("part"),
         text(sa.irange(F.col("a"), 10, 1000)).alias("ranged"), text(sa.backwards(F.col("a"))).alias("reversed"), text(sa.repeat(F.col("a"), 2)).alias("doubled"),
+        text(sa.update(F.col("a"), F.array(x + 1))).alias("updated"), text(sa.sort_by_key(F.col("a"), lambda v: -v)).alias("by_key"), text(sa.setitem(F.col("a"), 0, -1)).alias("replaced"),
+        text(sa.insert(F.col("a"), 1, 50)).alias("inserted"), text(sa.extend(F.col("a"), F.array(F.lit(5000).cast("bigint")))).alias("extended"),
+        sa.compare(F.col("a"), F.array(x, x)).alias("compared"), sa.bisect_key_left(F.col("a"), 7, lambda v: v % 10).alias("key_left"),
+        sa.bisect_key_right(F.col("a"), 7, lambda v: v % 10).alias("key_right"), text(sa.irange_key(F.col("a"), 2, 7, lambda v: v % 10, (True, False))).alias("key_ranged"),
     )
 
 
@@ -341,5 +345,11 @@ SELECT ctx_id, follower, score, place FROM choices LEFT JOIN placed USING (ctx_i
 SELECT sent_id, {_IDS.format("list_sort(list_append(a, 100))")} AS added, {_IDS.format("a[2:]")} AS discarded,
 CAST(len([x FOR x IN a IF x < 100]) AS BIGINT) AS left_of, CAST(len([x FOR x IN a IF x <= 100]) AS BIGINT) AS right_of, CAST(len([x FOR x IN a IF x = a[1]]) AS BIGINT) AS counted,
 CAST(list_position(a, a[-1]) - 1 AS BIGINT) AS found_at, a[-1] AS last, {_IDS.format("a[:len(a) - 1]")} AS popped, {_IDS.format("a[2:3]")} AS part,
-{_IDS.format("[x FOR x IN a IF x >= 10 AND x <= 1000]")} AS ranged, {_IDS.format("list_reverse(a)")} AS reversed, {_IDS.format("list_sort(list_concat(a, a))")} AS doubled FROM z""",
+{_IDS.format("[x FOR x IN a IF x >= 10 AND x <= 1000]")} AS ranged, {_IDS.format("list_reverse(a)")} AS reversed, {_IDS.format("list_sort(list_concat(a, a))")} AS doubled,
+{_IDS.format("list_sort(list_append(a, a[1] + 1))")} AS updated, {_IDS.format("list_reverse(a)")} AS by_key,
+CASE WHEN len(a) = 1 OR a[2] >= -1 THEN {_IDS.format("list_concat([-1], a[2:])")} END AS replaced,
+CASE WHEN a[1] <= 50 AND (len(a) = 1 OR a[2] >= 50) THEN {_IDS.format("list_concat(a[1:1], [50], a[2:])")} END AS inserted,
+CASE WHEN a[-1] <= 5000 THEN {_IDS.format("list_append(a, 5000)")} END AS extended, CAST(CASE WHEN a < [a[1], a[1]] THEN -1 WHEN a = [a[1], a[1]] THEN 0 ELSE 1 END AS BIGINT) AS compared,
+CAST(len([x FOR x IN a IF x % 10 < 7]) AS BIGINT) AS key_left, CAST(len([x FOR x IN a IF x % 10 <= 7]) AS BIGINT) AS key_right,
+{_IDS.format("[y.v FOR y IN list_sort([{'k': x % 10, 'v': x} FOR x IN a IF x % 10 >= 2 AND x % 10 < 7])]")} AS key_ranged FROM z""",
 }
