@@ -49,3 +49,12 @@ def test_the_stack_closes_ngrams_across_batches():
 def test_terms_are_trimmed_and_unified(spark):
     df = spark.createDataFrame([(" \tDon’t ",), ("ʼTis",), (" ",), (None,)], "w string")
     assert [r[0] for r in df.select(term(df.w)).collect()] == ["don't", "'tis", "", None]
+
+
+def test_batches_whose_fields_may_not_be_null():
+    import pyarrow as pa
+
+    schema = pa.schema([("g1", pa.string()), pa.field("from_len", pa.int32(), False), pa.field("seen", pa.int32(), False), ("total", pa.int64()), ("records", pa.int64())])
+    batches = [pa.RecordBatch.from_pydict({"g1": [g], "from_len": [1], "seen": [0], "total": [n], "records": [1]}, schema=schema) for g, n in (("b", 2), ("b", 3), ("a", 1))]
+    out = {tuple(g): t for b in _stack(1)(iter(batches)) for g, t in zip(b["ngram"].to_pylist(), b["total"].to_pylist())}
+    assert out == {("b",): 5, ("a",): 1}

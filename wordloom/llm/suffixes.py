@@ -122,7 +122,7 @@ def _stack(sigma: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([batch]).select([*names, *numbers])
+            t = pa.table({c: batch[c] for c in [*names, *numbers]})  # with the stack's own field types, whatever may be null
             out, stack = close(t if stack is None else pa.concat_tables([stack, t]), last=False)
             if out.num_rows:
                 yield out
