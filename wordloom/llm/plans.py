@@ -218,7 +218,8 @@ def p8_checks(spark: SparkSession, d: str) -> DataFrame:
 
 def _residue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs, residue.find_residue(spread(docs), "doc_id", "text", residue.fit_on(docs, "doc_id", "text"))
+    dealt = spread(docs)
+    return docs, residue.find_residue(dealt, "doc_id", "text", residue.fit_on(dealt, "doc_id", "text"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
