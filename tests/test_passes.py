@@ -4,7 +4,7 @@ import os
 import random
 
 from wordloom import storage
-from wordloom.operators import suggest
+from wordloom.operators import cooccur, suggest
 
 
 def test_passes_long_lists_and_stretches_give_the_same(spark, monkeypatch):
@@ -32,3 +32,10 @@ def test_written_tables_go_when_released(spark):
     assert os.path.isdir(path)
     storage.release(t)
     assert not os.path.exists(path) and all(p != t._written_to for _, p in storage._written)
+
+
+def test_row_sums_of_all_pairs_for_the_wanted(spark):
+    pairs = spark.createDataFrame([(1, 2, 3), (2, 1, 3), (1, 3, 1), (3, 1, 1), (2, 3, 2), (3, 2, 2)], "condition long, conditional long, occurences long")
+    every = {(r.condition, r.conditional): tuple(r) for r in cooccur.row_sum_factors(pairs).collect()}
+    wanted = spark.createDataFrame([(1, 3), (2, 3), (7, 8)], "condition long, conditional long")
+    assert sorted(map(tuple, cooccur.row_sum_factors(pairs, wanted).collect())) == [every[1, 3], every[2, 3]]

@@ -67,12 +67,17 @@ def bayes_factors(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return joined.select("condition", "conditional", "occurences", factor.alias("factor"))
 
 
-def row_sum_factors(pairs: DataFrame) -> DataFrame:
-    """The earlier factor from row sums: (n / c_i) / ((c_j - n) / (total - c_i)); null on division by zero."""
+def row_sum_factors(pairs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The earlier factor from row sums: (n / c_i) / ((c_j - n) / (total - c_i)); null on division by zero.
+
+    The sums are those of all pairs; with ``wanted`` (condition, conditional) only its pairs are returned.
+    """
     sums = pairs.groupBy("condition").agg(F.sum("occurences").alias("c"))
     total = float(sums.agg(F.sum("c")).first()[0] or 0)
     i = sums.withColumnRenamed("c", "ci")
     j = sums.select(F.col("condition").alias("conditional"), F.col("c").alias("cj"))
     n, zero = F.col("occurences"), F.lit(0.0)
+    if wanted is not None:
+        pairs = pairs.join(wanted, ["condition", "conditional"], "left_semi")
     rest = (F.col("cj") - n) / F.nullif(F.lit(total) - F.col("ci"), zero)
     return pairs.join(i, "condition").join(j, "conditional").select("condition", "conditional", "occurences", ((n / F.col("ci")) / F.nullif(rest, zero)).alias("factor"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,12 +108,13 @@ def kneser_ney(ngrams: DataFrame, longest: int = 4) -> DataFrame:
     return out
 
 
-def combined_scores(contexts: DataFrame, probabilities: DataFrame, factors: DataFrame, longest: int = 4) -> DataFrame:
+def combined_scores(contexts: DataFrame, probabilities: DataFrame, factors: DataFrame | Callable[[DataFrame], DataFrame], longest: int = 4) -> DataFrame:
     """ctx_id, follower, score = p * odds / (1 + odds) for the followers of the longest stored end.
 
     ``contexts``: ctx_id, words (array of ids).  ``probabilities``: n, prefix (joined
     ids), follower, p.  The odds are the product over the context of ``factors``
-    (condition, conditional, factor); a missing or null factor counts as 1.
+    (condition, conditional, factor); a missing or null factor counts as 1.  A function
+    gets the distinct pairs that are asked for and gives the factors of these.
     """
     ends = contexts.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(longest)))).where(F.col("n") <= F.size("words"))
     cut = F.slice("words", F.size("words") - F.col("n") + 1, F.col("n"))
@@ -121,6 +124,8 @@ def combined_scores(contexts: DataFrame, probabilities: DataFrame, factors: Data
     offered = best.join(probabilities, ["n", "prefix"]).select("ctx_id", "follower", "p")
     at = contexts.select("ctx_id", F.posexplode("words").alias("pos", "condition"))
     pairs = offered.select("ctx_id", "follower").join(at, "ctx_id").withColumnRenamed("follower", "conditional")
+    if not isinstance(factors, DataFrame):
+        factors = factors(pairs.select("condition", "conditional").distinct())
     hits = pairs.join(factors.where("factor is not null").select("condition", "conditional", "factor"), ["condition", "conditional"])
     odds = hits.groupBy("ctx_id", F.col("conditional").alias("follower")).agg(F.array_sort(F.collect_list(F.struct("pos", "factor"))).alias("f"))
     odds = odds.select("ctx_id", "follower", F.aggregate("f", F.lit(1.0), lambda a, x: a * x["factor"]).alias("odds"))

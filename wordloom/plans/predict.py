@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions import sortedarrays as sa
-from wordloom.operators import corpus, dictionary, evaluate, suggest
+from wordloom.operators import cooccur, corpus, dictionary, evaluate, suggest
 from wordloom.plans import model as m
 from wordloom.plans import text as t
 from wordloom.plans.text import QUERIES as TEXT
 from wordloom.sources.tables import table
-from wordloom.storage import materialize
+from wordloom.storage import materialize, release
 
 K, K_APP = 3, 4
 
@@ -170,7 +170,12 @@ def _combined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         grams = one if grams is None else grams.unionByName(one)
     p = materialize(dictionary.ml_probabilities(grams).withColumn("follower", F.col("follower").cast("bigint")), "probabilities")
     asked = materialize(contexts(spark, d), "contexts")
-    scores = dictionary.combined_scores(asked.select("ctx_id", F.col("ids").alias("words")), p, materialize(m.bayes_factors_rowsum(spark, d), "rowsum"))
+    release(s)
+    multi = materialize(m.pair_counts_multiset(spark, d), "multiset-pairs")
+    # Of all pairs, only those of a context's words with followers offered to it need a factor.
+    scores = dictionary.combined_scores(asked.select("ctx_id", F.col("ids").alias("words")), p, lambda pairs: materialize(cooccur.row_sum_factors(multi, pairs), "rowsum"))
+    scores = materialize(scores, "scores")
+    release(p, multi)
     return scores, asked
 
 
@@ -182,7 +187,7 @@ def multiple_choice(spark: SparkSession, d: str) -> DataFrame:
     """For every context the true word and three decoys (the words of the next, second and third id): place and score."""
     scores, asked = _combined(spark, d)
     choices = asked.select("ctx_id", F.explode(F.array(*[F.col("target") + k for k in range(4)])).alias("follower"))
-    return dictionary.score_choices(materialize(scores, "scores"), choices)
+    return dictionary.score_choices(scores, choices)
 
 
 def split_input(spark: SparkSession, d: str) -> DataFrame:
