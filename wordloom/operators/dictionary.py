@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.editdistance import list_distance
 from wordloom.operators.corpus import ordered_scan
+from wordloom.storage import materialize
 
 N_SUG, N_MAX = 5, 200_000
 
@@ -121,7 +122,7 @@ def combined_scores(contexts: DataFrame, probabilities: DataFrame, factors: Data
     ends = ends.select("ctx_id", F.col("n").cast("bigint").alias("n"), F.array_join(F.transform(cut, lambda x: x.cast("string")), " ").alias("prefix"))
     stored = probabilities.select("n", "prefix").distinct()
     best = ends.join(stored, ["n", "prefix"]).groupBy("ctx_id").agg(F.max_by("prefix", "n").alias("prefix"), F.max("n").alias("n"))
-    offered = best.join(probabilities, ["n", "prefix"]).select("ctx_id", "follower", "p")
+    offered = materialize(best.join(probabilities, ["n", "prefix"]).select("ctx_id", "follower", "p"), "offered")
     at = contexts.select("ctx_id", F.posexplode("words").alias("pos", "condition"))
     pairs = offered.select("ctx_id", "follower").join(at, "ctx_id").withColumnRenamed("follower", "conditional")
     if not isinstance(factors, DataFrame):
